@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from skein.llm.baskets import listed_elements, listed_terms
 from skein.llm.cooccurrence import item_pairs
 from skein.llm.distinctive import distinctive_terms, most_distinctive
+from skein.llm.mixing import mix_sources
+from skein.llm.packing import pack
 from skein.llm.rank_fusion import first_per_group, fused_scores
+from skein.llm.repetitive import repetitive_documents
 from skein.llm.term_frequency import term_frequencies
+from skein.llm.tokens import token_counts
 from skein.operators.current import active_generation, listed_rows
 from skein.queries.feed import BLANKS
 from skein.session import load
@@ -68,7 +72,54 @@ def p6_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return term_frequencies(listed_elements(spark, folder, "tags", "keywords"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p4_found, p4_ranking, p5_found, p5_scores, p6_found, p6_frequencies)}
+CAPACITY = 4096
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(token_counts(load(spark, folder, "documents"), "text", "doc_id"), "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where("part = 0 AND n_parts > 1").select("doc_id")
+
+
+def p7_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part of every document with its container."""
+    return _packed(spark, folder)
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and the share of room that is used."""
+    used = _packed(spark, folder).agg(F.count_distinct("container").alias("containers"), F.sum("size").alias("tokens"), F.count_if(F.expr("n_parts > 1 AND part = 0")).alias("cut"))
+    return used.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mix_sources(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))
+    return mix.report.where("short").select("source")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and real shares of each source."""
+    return mix_sources(load(spark, folder, "documents"), load(spark, folder, "mix_targets")).report
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is taken."""
+    return mix_sources(load(spark, folder, "documents"), load(spark, folder, "mix_targets")).rates
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = repetitive_documents(load(spark, folder, "documents"))
+    return rows.where("repetitive AND share >= 0.4").select("doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of every document and the verdict of the decision list."""
+    return repetitive_documents(load(spark, folder, "documents"))[0]
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p4_found, p4_ranking, p5_found, p5_scores, p6_found, p6_frequencies, p7_found, p7_layout, p7_report, p8_found, p8_report, p8_rates, p9_found, p9_shares)}
 
 _LISTED = f"""
 WITH g AS (SELECT id AS gid FROM index_generations WHERE status = 'active'),
@@ -122,4 +173,10 @@ SELECT entity_type, entity_id, term, n_holders, round(o, 6) AS log_odds, round(o
     "p6_frequencies": _POOLED
     + """size AS (SELECT count(*) AS n FROM listed), occ AS (SELECT term, count(*) AS n_occurrences FROM elements WHERE term <> '' GROUP BY term)
 SELECT term, n_holders AS n_records, n_occurrences, CASE WHEN n_holders * 5 >= n THEN 'common' WHEN n_holders <= 2 THEN 'rare' END AS mark FROM holders JOIN occ USING (term), size""",
+    # with bytes for tokens: no source lies near the line, whatever the tokenizer
+    "p8_found": """
+WITH d AS (SELECT regexp_replace(lower(trim(source, {BLANKS})), '[\\s_-]+', '-', 'g') AS key, strlen(text) AS size FROM documents),
+s AS (SELECT source, target_share, max_repeats, regexp_replace(lower(trim(source, {BLANKS})), '[\\s_-]+', '-', 'g') AS key FROM mix_targets),
+z AS (SELECT s.source, s.target_share, s.max_repeats, coalesce(sum(d.size), 0) AS size FROM s LEFT JOIN d USING (key) GROUP BY ALL)
+SELECT source FROM z WHERE size * max_repeats < target_share * (SELECT sum(size) FROM z)""".replace("{BLANKS}", BLANKS),
 }
