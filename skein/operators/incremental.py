@@ -17,17 +17,16 @@ def pending_events(events: DataFrame, low_mark: int | None, *, id: str = "id", s
 
     Method: sequence numbers all of whose events are done are kept as disjoint intervals; they are subtracted from the
     intervals of the numbers that occur, and what falls into the gaps is pending, late commits between done numbers
-    included. Numbers up to ``low_mark`` are one interval that needs no table: it is a filter pushed into the scan.
+    included. Numbers up to ``low_mark`` are one interval that needs no table. It is taken off after the rows of an event have
+    been put together, so that a row that tells of an event's end counts wherever it stands in the feed.
 
     Defined cases: repeated rows of one id count once; an event is done if any of its rows says so; of several events that
-    share a number, the number stays in the gap until all are done, and only the open ones come out; rows without id or
-    number have no place in the feed and are ignored; low_mark None takes all numbers; attempts, failures and locks do
+    share a number, the number stays in the gap until all are done, and only the open ones come out; events without id or
+    number have no place in the feed and are ignored (an event has the highest number of its rows); low_mark None takes all numbers; attempts, failures and locks do
     not matter; an empty feed gives no rows.
     """
-    rows = events.where(F.col(seq).isNotNull() & F.col(id).isNotNull())
-    if low_mark is not None:
-        rows = rows.where(F.col(seq) > low_mark)
-    each = rows.groupBy(F.col(id).alias("event_id")).agg(F.max(seq).cast("bigint").alias("event_order"), F.max(F.col(done).isNotNull()).alias("_done"))
+    each = events.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("event_id")).agg(F.max(seq).cast("bigint").alias("event_order"), F.max(F.col(done).isNotNull()).alias("_done"))
+    each = each.where(F.col("event_order").isNotNull() if low_mark is None else F.col("event_order") > low_mark)
     numbers = each.groupBy("event_order").agg(F.min("_done").alias("_all"))
     gaps = subtract_intervals(to_intervals(numbers, "event_order"), to_intervals(numbers.where("_all"), "event_order"))
     open_numbers = points_in(numbers, "event_order", gaps)
