@@ -15,6 +15,7 @@ from skein.plans.config import Config, Scoring
 from skein.plans.request import Clause, Filters, Range, Request, checked
 from skein.plans.textquery import parse
 from skein.queries.feed import BLANKS
+from skein.queries.registry import Registry
 from skein.session import load
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -46,17 +47,8 @@ open AS (SELECT *, tok_a || tok_b || tok_c || tok_d AS tok FROM v WHERE status N
 """
 _KEYS = VIEW + "SELECT entity_type, entity_id FROM open WHERE "
 
-QUERIES, SQL = {}, {}
-
-
-def add(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return keep
+_REGISTRY = Registry()
+QUERIES, SQL, add = _REGISTRY.queries, _REGISTRY.sql, _REGISTRY.add
 
 
 def _request(name: str, sql: str, **parts) -> None:
