@@ -4,10 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of every executor, once per application; needed where it is not installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="skein-ship-")) / f"{home.name}.zip"  # Spark serves it from the driver
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
