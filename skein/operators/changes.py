@@ -26,7 +26,7 @@ def apply_changes(
 
     Method: column-wise last writer wins. Each row gets a sequence (version, base before change, time, id,
     time of the last look at the change). The rows of
-    ``base`` and the actions in ``replaces`` are replacements, those in ``deletes`` remove, all others set only the fields
+    ``base`` and the actions in ``replaces`` are replacements, those in ``deletes`` remove (and set nothing), all others set only the fields
     they carry (a field is set where its expression is not null). A field's value is that of the greatest sequence that
     sets it, and it counts only from the latest removal or replacement on. All of it is one GROUP BY of maxima over
     structs: the maximum over all writers lies beyond the barrier exactly if any writer does, so no second pass and no join
@@ -42,20 +42,21 @@ def apply_changes(
     """
     keys = [trimmed(k).alias(k) for k in key]
     act = F.coalesce(folded("action"), F.lit(""))
-    values = lambda k: F.struct(*[v[k].alias(n) for n, v in fields.items()]) if fields else F.struct(F.lit(None).cast("string").alias("_none"))
+    values = lambda k, there: F.struct(*[F.when(there, v[k]).alias(n) for n, v in fields.items()]) if fields else F.struct(F.lit(None).cast("string").alias("_none"))
+    base_there, there = ~(F.coalesce(folded("status"), F.lit("")) == "deleted"), ~act.isin(*deletes)
     a = base.select(
         *keys,
         F.struct(F.coalesce("source_version", F.lit(0)).cast("bigint").alias("v"), F.lit(0).alias("k"), F.col("indexed_at").cast("timestamp").alias("t"), F.lit(None).cast("string").alias("i"), F.lit(None).cast("timestamp").alias("u")).alias("_s"),
-        (~(F.coalesce(folded("status"), F.lit("")) == "deleted")).alias("_there"),
+        base_there.alias("_there"),
         F.lit(True).alias("_wall"),
-        values(0).alias("_f"),
+        values(0, base_there).alias("_f"),
     )
     b = changes.where(F.col("event_order").isNotNull()).select(
         *keys,
         F.struct(F.col("event_order").cast("bigint").alias("v"), F.lit(1).alias("k"), F.col("created_at").cast("timestamp").alias("t"), F.col("id").cast("string").alias("i"), F.col("updated_at").cast("timestamp").alias("u")).alias("_s"),
-        (~act.isin(*deletes)).alias("_there"),
+        there.alias("_there"),
         act.isin(*deletes, *replaces).alias("_wall"),
-        values(1).alias("_f"),
+        values(1, there).alias("_f"),
     )
     rows = a.unionByName(b).where(F.length(F.col(key[-1])) > 0)
     last = F.max(F.struct(F.col("_s").alias("s"), F.col("_there").alias("there"))).alias("_last")

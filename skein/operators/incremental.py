@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.intervals import merge_intervals, points_in, subtract_intervals, to_intervals
+from skein.sources.manifests import ManifestLog
 
 
 def pending_events(events: DataFrame, low_mark: int | None, *, id: str = "id", seq: str = "event_order", done: str = "processed_at") -> DataFrame:
@@ -49,37 +49,21 @@ class IncrementalJob:
 
     def __init__(self, spark: SparkSession, home: str, seq: str = "event_order"):
         self.spark, self.home, self.seq = spark, home.rstrip("/"), seq
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def commits(self) -> list[dict]:
-        """The manifests in order."""
-        folder = self._path(f"{self.home}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = sorted(s.getPath().toString() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        return [self._read(n) for n in names]
-
-    def _read(self, name: str) -> dict:
-        stream = self._fs.open(self._path(name))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        self.log = ManifestLog(spark, f"{self.home}/commits")
 
     def processed(self) -> DataFrame:
         """Disjoint intervals (lo, hi) of the numbers processed so far."""
-        done = self.commits()
-        return self.spark.read.parquet(done[-1]["intervals"]) if done else self.spark.createDataFrame([], "lo bigint, hi bigint")
+        _, last = self.log.last()
+        return self.spark.read.parquet(last["intervals"]) if last else self.spark.createDataFrame([], "lo bigint, hi bigint")
 
     def output(self) -> DataFrame | None:
-        """Everything committed so far."""
-        paths = [c["output"] for c in self.commits() if c["output"]]
+        """Everything committed so far; None before the first commit."""
+        paths = [c["output"] for c in self.log.all()]
         return self.spark.read.parquet(*paths) if paths else None
 
     def run(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> dict:
         """One run; the manifest that was committed."""
-        n = len(self.commits())
+        n, _ = self.log.last()
         old, name = self.processed(), f"{n:012d}-{uuid.uuid4().hex}"
         numbers = source.select(self.seq)
         fresh = points_in(numbers, self.seq, subtract_intervals(to_intervals(numbers, self.seq), old))
@@ -88,7 +72,5 @@ class IncrementalJob:
         transform(rows).write.parquet(output := f"{self.home}/output/{name}")
         merge_intervals(old.unionByName(to_intervals(rows, self.seq))).write.parquet(intervals := f"{self.home}/intervals/{name}")
         manifest = {"n": n, "input": taken, "output": output, "intervals": intervals}
-        stream = self._fs.create(self._path(f"{self.home}/commits/{n:012d}.json"), False)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
+        self.log.append(n, manifest)
         return manifest

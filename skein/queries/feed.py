@@ -77,8 +77,8 @@ WHERE CASE WHEN l.action IS NOT NULL THEN l.action <> 'delete' ELSE b.there END"
     "p2_state": _CHANGES
     + """steps AS (
   SELECT entity_type, entity_id, event_order, created_at, id, updated_at, 1 AS k, bool_or(action <> 'delete') AS there, bool_or(action IN ('delete', 'insert', 'upsert')) AS wall,
-    NULL AS title, max(origin) AS origin, max(reason) AS reason, max("try") AS "try" FROM valid GROUP BY ALL
-  UNION ALL SELECT entity_type, entity_id, source_version, NULL, NULL, NULL, 0, there, true, title, NULL, NULL, NULL FROM base),
+    NULL AS title, max(origin) FILTER (action <> 'delete') AS origin, max(reason) FILTER (action <> 'delete') AS reason, max("try") FILTER (action <> 'delete') AS "try" FROM valid GROUP BY ALL
+  UNION ALL SELECT entity_type, entity_id, source_version, NULL, NULL, NULL, 0, there, true, CASE WHEN there THEN title END, NULL, NULL, NULL FROM base),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY event_order, k, created_at NULLS FIRST, id NULLS FIRST, updated_at NULLS FIRST, there) AS n FROM steps),
 walls AS (SELECT entity_type, entity_id, max(n) FILTER (wall) AS w, max(n) AS z FROM numbered GROUP BY ALL)
 SELECT entity_type, entity_id, max(event_order) AS source_version,
