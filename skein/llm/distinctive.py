@@ -24,17 +24,17 @@ def distinctive_terms(records: DataFrame, key: Sequence[str], terms: str = "term
 
     Counts cover all records. Terms of many records meet their counts by a broadcast of bounded size, the others by
     shuffle. Repeats and nulls in ``terms`` are removed; records without terms and empty tables give no rows; null keys
-    are kept as they are; a record whose terms are the whole collection has no rest and scores 0.
+    are kept as they are; where the collection has no other term, or only one record, all scores are 0.
     """
     base = materialize(records.select(*key, F.array_distinct(F.filter(terms, lambda t: t.isNotNull())).alias("terms")).where(F.size("terms") > 0), "terms")
     counts = materialize(base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_holders")), "counts")
     total = counts.agg(F.sum("n_holders")).first()[0] or 0
     rows = lookup_join(base.select(*key, F.size("terms").alias("_n"), F.explode("terms").alias("term")), counts, "term", "n_holders")
-    y, a, pseudo = F.lit(1.0), F.col("n_holders") * F.lit(prior), prior * total
+    y, a, others = F.lit(1.0), F.col("n_holders") * F.lit(prior), (F.lit(total) - F.col("n_holders")) * F.lit(prior)
     rest = F.col("n_holders") - y + a
-    inside = F.col("_n") + pseudo - y - a
-    outside = F.lit(float(total)) - F.col("_n") + pseudo - F.col("n_holders") + y - a
-    odds = F.when((inside > 0) & (outside > 0) & (rest > 0), F.log(y + a) - F.log(inside) - F.log(rest) + F.log(outside)).otherwise(0.0)
+    inside = F.col("_n") - y + others  # 0 exactly where the collection has no other term
+    outside = F.lit(total) - F.col("_n") - (F.col("n_holders") - y) + others
+    odds = F.when((inside > 0) & (outside > 0) & (F.col("_n") < total), F.log(y + a) - F.log(inside) - F.log(rest) + F.log(outside)).otherwise(0.0)
     return rows.select(*key, "term", "n_holders", odds.alias("log_odds"), (odds / F.sqrt(1 / (y + a) + 1 / rest)).alias("z"))
 
 
