@@ -15,6 +15,7 @@ from skein.plans import cursor as cursors
 from skein.plans.config import Config
 from skein.plans.request import Request, checked
 from skein.plans.textquery import TextQuery, parse, tokenize
+from skein.session import materialize
 
 #: Buckets of a facet.
 BUCKETS = 20
@@ -51,8 +52,18 @@ def facet(rows: DataFrame, value: str | Column, buckets: int = BUCKETS) -> DataF
     return rows.select(v).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("value")).limit(buckets)
 
 
-def facets(rows: DataFrame) -> dict[str, DataFrame]:
-    return {"entity": facet(rows, "entity_type"), "category": facet(rows, "category_id"), "tag": facet(rows, F.explode("tags"))}
+def totals(rows: DataFrame) -> DataFrame:
+    """(kind, value, n): rows in all, per entity type, category and tag, in one scan and one shuffle of partial counts."""
+    one = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    own = F.array(one("total", F.lit("")), one("entity", F.col("entity_type")), one("category", F.col("category_id")))
+    cells = F.explode(F.concat(own, F.transform("tags", lambda t: one("tag", t)))).alias("c")
+    return rows.select(cells).where("c.value IS NOT NULL").groupBy("c.kind", "c.value").agg(F.count("*").alias("n"))
+
+
+def facets(counts: DataFrame, buckets: int = BUCKETS) -> dict[str, DataFrame]:
+    """The facets of ``totals``: most frequent values first."""
+    top = lambda k: counts.where(F.col("kind") == k).orderBy(F.desc("n"), F.asc("value")).limit(buckets).select("value", "n")
+    return {k: top(k) for k in ("entity", "category", "tag")}
 
 
 @dataclass
@@ -79,9 +90,10 @@ def ranked(view: DataFrame, r: Request, c: Config, now: datetime) -> tuple[DataF
 def search(view: DataFrame, request: Request, *, generation: int, config: Config = Config(), secret: bytes = b"", with_facets: bool = True) -> Page:
     """Answers a request over one immutable generation, so count, items and facets agree.
 
-    Plan: one boolean column over the scan (status, type, times and counters can be pushed down), scores only on matches,
-    TakeOrderedAndProject for the page of limit + 1 rows; nothing else reaches the driver than that page's last row and
-    the total. Raises QueryError and CursorError.
+    Plan: two scans with one boolean column (status, type, times and counters can be pushed down). One counts the total and
+    all facets together; the other scores the matches and takes limit + 1 rows (TakeOrderedAndProject), which are all that
+    reaches the driver; the page is a local relation, so that snippets are made of its rows only. ``with_facets`` False:
+    only the total is counted. Raises QueryError and CursorError.
     """
     r = checked(request)
     now = r.scoring_time or datetime.now(timezone.utc)
@@ -91,20 +103,26 @@ def search(view: DataFrame, request: Request, *, generation: int, config: Config
         place = cursors.bind(cursors.decode(r.cursor, secret), sort=r.sort, generation=generation, config=config.digest(), query=digest)
         now = datetime.fromisoformat(place.scoring_time)
     rows, q = ranked(view, r, config, now)
-    total = matched(view, r, q, config).count()
     behind = rows if place is None else rows.where(after(r.sort, place.score, datetime.fromisoformat(place.sort_time), place.entity_type, place.entity_id))
     keep = [*RESULT, *[x for x in rows.columns if x in ("score", "matched", "text_score", "popularity_score", "freshness_score")], "sort_time", "payload_text"]
     top = behind.select(*keep).orderBy(*order(r.sort)).limit(r.limit + 1)
-    ends = top.select("score", "sort_time", "entity_type", "entity_id").collect()
-    items = behind.select(*keep).orderBy(*order(r.sort)).limit(r.limit)
+    ends = top.collect()
+    items = view.sparkSession.createDataFrame(ends[: r.limit], top.schema)
     if r.highlight:
         more = [t for x in (*r.must, *r.should) for t in tokenize(x.value)]
         items = highlighted(items, list(dict.fromkeys([*q.expanded, *more])))
+    found = matched(view, r, q, config)
+    if with_facets:
+        counts = materialize(totals(found), "facets")
+        whole = counts.where("kind = 'total'").first()
+        total, buckets = (whole.n if whole else 0), facets(counts)
+    else:
+        total, buckets = found.count(), {}
     last = ends[r.limit - 1] if len(ends) > r.limit else None
     cursor = last and cursors.encode(
         cursors.Cursor(r.sort, last.score, last.sort_time.replace(tzinfo=timezone.utc).isoformat(), last.entity_type, last.entity_id, generation, config.digest(), digest, now.isoformat()), secret
     )
-    return Page(items, total, facets(matched(view, r, q, config)) if with_facets else {}, cursor)
+    return Page(items, total, buckets, cursor)
 
 
 def by_category_or_slug(rows: DataFrame, categories: DataFrame, ref: str = "category", columns: Sequence[str] = ("name",)) -> DataFrame:
