@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokens
-from skein.operators import predicates, scoring, search, tags
+from skein.operators import postings, predicates, scoring, search, tags
 from skein.operators.current import active_generation
 from skein.operators.view import open_view
 from skein.plans.config import Config, Scoring
@@ -16,7 +17,7 @@ from skein.plans.request import Clause, Filters, Range, Request, checked
 from skein.plans.textquery import parse
 from skein.queries.feed import BLANKS
 from skein.queries.registry import Registry
-from skein.session import load
+from skein.session import load, scratch_root
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 CONFIG = Config(synonyms={"tech": ["redwire", "solar gate"], "magic": ["魔法"], "quest": ["adventure"]})
@@ -116,6 +117,16 @@ _request(
     must_not=(Clause("_all", "quest"),),
 )
 
+
+
+@add("postings_match", _KEYS + _TECH.format(t="tok") + " AND list_has_any(tok, ['quest', 'adventure'])")
+def postings_match(spark, folder):
+    v = view(spark, folder)
+    postings.save_postings(v, path := f"{scratch_root(spark)}/skein/postings-{uuid.uuid4().hex}")
+    found = postings.matched_by_postings(v, spark.read.parquet(path), parse("tech quest", CONFIG.synonyms).groups)
+    return found.where(~F.col("status").isin("hidden", "deleted")).select(*KEY)
+
+
 # filters
 _request("filter_entity_types", "entity_type IN ('post', 'video')", filters=Filters(entity_types=(" Post", "video")))
 _request("filter_category_literal", "category_id IN ('cat-maps', 'CAT-WORLD')", filters=Filters(category_ids=("cat-maps ", "CAT-WORLD")))

@@ -112,3 +112,17 @@ def test_version_gate(spark):
     assert empty[0].count() == empty[1].count() == 0
     with pytest.raises(Exception):
         upsert(cur, spark.createDataFrame([row(" ", "no id")], SCHEMA), NOW)[0].collect()
+
+
+def test_postings_agree_with_the_scan(view, spark, tmp_path):
+    from skein.operators.postings import candidates, matched_by_postings, save_postings
+    from skein.operators.predicates import matches
+
+    save_postings(view, f"file://{tmp_path}/p")
+    p = spark.read.parquet(f"file://{tmp_path}/p")
+    for groups in ([[["mod"]]], [[["mod"], ["mods"], ["模", "组"]]], [[["mod"]], [["pack"], ["big", "mods"]]], [[["nothing"]]]):
+        for field in ("_all", "title", "tags"):
+            want = {r.entity_id for r in view.where(matches(groups, field)).collect()}
+            assert {r.entity_id for r in matched_by_postings(view, p, groups, field).collect()} == want
+    with pytest.raises(ValueError):
+        candidates(p, [])
