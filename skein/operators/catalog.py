@@ -22,6 +22,14 @@ from skein.sources.outbox import high_mark, latest_per_entity, outbox_range
 NEXT = {"building": ("active", "failed"), "active": ("retired",), "retired": ("active",), "failed": ()}
 
 
+#: Version of the layout of snapshots and manifests; a catalogue of a newer one is not opened.
+LAYOUT = 1
+
+
+class LayoutError(RuntimeError):
+    """The catalogue was written by a newer version."""
+
+
 class IndexUnavailable(RuntimeError):
     """No generation is active."""
 
@@ -42,14 +50,19 @@ class Catalog:
         self.spark, self.home, self.clock = spark, home.rstrip("/"), clock
         self.log = ManifestLog(spark, f"{self.home}/catalog")
 
+    def _last(self) -> tuple[int, list[dict]]:
+        n, state = self.log.last()
+        if state and state.get("layout", 1) > LAYOUT:
+            raise LayoutError(f"layout {state['layout']} is newer than {LAYOUT}")
+        return n, [dict(g) for g in (state or {"generations": []})["generations"]]
+
     def generations(self) -> list[dict]:
-        return (self.log.last()[1] or {"generations": []})["generations"]
+        return self._last()[1]
 
     def _change(self, f: Callable[[list[dict]], None]) -> list[dict]:
-        n, state = self.log.last()
-        rows = [dict(g) for g in (state or {"generations": []})["generations"]]
+        n, rows = self._last()
         f(rows)
-        self.log.append(n, {"generations": rows})
+        self.log.append(n, {"layout": LAYOUT, "generations": rows})
         return rows
 
     def _find(self, rows: list[dict], id: int) -> dict:

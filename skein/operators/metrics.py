@@ -65,3 +65,12 @@ def nearest_rank(df: DataFrame, value: str | Column, percents: Sequence[int] = (
     v = value if isinstance(value, str) else "_v"
     rows = df if isinstance(value, str) else df.select(value.alias("_v"))
     return rows.agg(*[F.expr(f"coalesce(percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {v}), 0)").alias(f"p{p}") for p in percents])
+
+
+def hit_ratio(calls: DataFrame, kind: str = "kind", hit: str = "hit", failed: str = "failed") -> DataFrame:
+    """(kind, calls, failures, hit_ratio) per kind of call and, with kind null, over all; failed calls do not count as hits
+    or misses. One pass with grouping sets."""
+    ok = ~F.coalesce(F.col(failed), F.lit(False))
+    by = calls.rollup(F.col(kind).alias("kind"))
+    out = by.agg(F.count("*").alias("calls"), F.count_if(~ok).alias("failures"), F.coalesce(F.avg(F.when(ok, F.col(hit).cast("double"))), F.lit(0.0)).alias("hit_ratio"))
+    return out

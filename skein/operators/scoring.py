@@ -120,3 +120,21 @@ def matched_fields(q: TextQuery, more: list[str] = []) -> Column:
         return found
 
     return F.filter(F.array(*[F.when(hit(c), n) for n, c in text.items()]), lambda x: x.isNotNull())
+
+
+def substring_score(q: TextQuery, s: Scoring, now: datetime) -> Column:
+    """The older score without an index of tokens: shares of terms that a field contains as substrings (the whole query
+    counts one and a half), weighted by field, plus boosts, popularity and freshness of updated_at; six digits."""
+    terms = q.expanded or q.terms
+    text = {"title": F.coalesce("title", F.lit("")), "tags": F.array_join("tags", " "), "keywords": F.array_join("keywords", " "), "payload": F.col("payload_text")}
+    weights = {"title": s.title_weight, "tags": s.tags_weight, "keywords": s.keywords_weight, "payload": s.payload_weight}
+
+    def share(c: Column) -> Column:
+        low = F.lower(F.btrim(c))
+        found = sum((F.when(F.contains(low, F.lit(t)), 1.0).otherwise(0.0) for t in terms), F.lit(0.0))
+        whole = F.when(F.contains(low, F.lit(q.normalized)), 1.5).otherwise(0.0) if q.normalized else F.lit(0.0)
+        return (found + whole) / (len(terms) + 1)
+
+    words = sum((share(c) * weights[k] for k, c in text.items()), F.lit(0.0)) if terms else F.lit(0.0)
+    fresh = F.when(F.col("updated_at").isNull(), 0.0).otherwise(F.exp(-F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("updated_at")) / 86_400_000_000) / s.time_decay_factor))
+    return F.round((words + boost(q)) * s.text_score_weight + popularity(s) * s.popularity_score_weight + fresh * s.freshness_score_weight, 6)

@@ -328,6 +328,15 @@ def latency_percentiles(spark, folder):
     return p.select(*[F.col(c).cast("bigint").alias(c) for c in p.columns])
 
 
+@add(
+    "hit_ratio",
+    "SELECT event_type AS kind, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failures, round(coalesce(avg(CASE WHEN event_type <> 'error' THEN (user_id % 3 = 0)::INT::DOUBLE END), 0), 9) AS hit_ratio FROM events GROUP BY ROLLUP (event_type)",
+)
+def hit_ratio(spark, folder):
+    calls = load(spark, folder, "events").select(F.col("event_type").alias("kind"), (F.col("user_id") % 3 == 0).cast("int").alias("hit"), (F.col("event_type") == "error").alias("failed"))
+    return metrics.hit_ratio(calls).withColumn("hit_ratio", F.round("hit_ratio", 9))
+
+
 @add("source_identities", "SELECT 'user' AS entity_type, c_custkey::VARCHAR AS entity_id, c_name AS title FROM customer ORDER BY entity_id LIMIT 100")
 def source_identities(spark, folder):
     return adapters.identities(adapters.user(source_tables(spark, folder)), 100).select(*KEY, "title")

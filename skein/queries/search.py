@@ -246,6 +246,17 @@ def explain_breakdown(spark, folder):
     return _ranked(spark, folder, Request(query="quest", explain=True)).select(*KEY, *[F.round(c, 6).alias(c) for c in ("text_score", "popularity_score", "freshness_score")])
 
 
+_TEXTS = {"8.0": "coalesce(title, '')", "5.0": "array_to_string(tags, ' ')", "3.0": "array_to_string(keywords, ' ')", "1.0": "payload_text"}
+_SHARES = " + ".join(f"(CASE WHEN contains(lower(trim({t})), 'quest') THEN 2.5::DOUBLE ELSE 0 END + CASE WHEN contains(lower(trim({t})), 'adventure') THEN 1 ELSE 0 END) / 3 * {w}::DOUBLE" for w, t in _TEXTS.items())
+_FRESH_UPDATED = _FRESH.replace("sort_time", "updated_at")
+
+
+@add("substring_score", VIEW + f"SELECT entity_type, entity_id, round(({_SHARES}) * 0.72::DOUBLE + {_POP} * 0.2::DOUBLE + CASE WHEN updated_at IS NULL THEN 0 ELSE {_FRESH_UPDATED} END * 0.08::DOUBLE, 6) AS score FROM open")
+def substring_score(spark, folder):
+    rows = view(spark, folder).where(~F.col("status").isin("hidden", "deleted"))
+    return rows.select(*KEY, scoring.substring_score(parse("quest", CONFIG.synonyms), Scoring(), NOW).alias("score"))
+
+
 @add("highlight")
 def highlight(spark, folder):
     page = search.search(view(spark, folder), Request(query="magic", limit=20, highlight=True, scoring_time=NOW), generation=1, config=CONFIG, with_facets=False)

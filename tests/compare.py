@@ -17,7 +17,7 @@ def canonical(rows, names):
 
     def one(v):
         if isinstance(v, float):
-            return "nan" if math.isnan(v) else f"{v:.6g}"
+            return "nan" if math.isnan(v) else repr(v + 0.0)
         if hasattr(v, "tzinfo") and v.tzinfo is not None:
             v = v.replace(tzinfo=None)
         return str(v)
