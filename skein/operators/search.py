@@ -32,6 +32,17 @@ def matched(view: DataFrame, r: Request, q: TextQuery, c: Config) -> DataFrame:
     return view.where(test)
 
 
+def needed_columns(r: Request) -> list[str]:
+    """The stored columns that decide whether a row answers a checked request."""
+    need = {"status"}
+    fields = {c.field.strip().lower() for c in (*r.must, *r.should, *r.must_not)} | ({"_all"} if r.query else set())
+    need |= (fields - {"_all"}) | ({"title", "tags", "keywords", "payload"} if "_all" in fields else set())
+    f = r.filters
+    need |= {c for c, v in (("category_id", f.category_ids), ("tags", f.tags_any or f.tags_all), ("payload", f.platforms or f.version.bounds())) if v}
+    need |= {c for c in ("view_count", "like_count", "download_count", "created_at", "updated_at") if getattr(f, c).bounds()}
+    return sorted(need)
+
+
 def order(sort: str) -> list[Column]:
     """A total order: score and time descending, then type and id in binary order."""
     by = [F.desc("sort_time"), F.asc("entity_type"), F.asc("entity_id")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,31 +19,38 @@ def searchable(rows: DataFrame, index_text: Column | None = None) -> DataFrame:
     tok_d payload (and a private text that is searched but never shown).
 
     A blank status is active. platform, version_keys and sort_time are derived here so that filters stay plain comparisons.
-    Columns that a query does not use are pruned away with the work behind them.
+    Columns that a query does not use are pruned away with the work behind them; what would derive from a column that
+    ``rows`` lacks is left out.
+    """
+    have = set(rows.columns)
+    base = {
+        "status": lambda: F.when(F.length(folded("status")) > 0, folded("status")).otherwise("active"),
+        "tags": lambda: sorted_strings("tags"),
+        "keywords": lambda: sorted_strings("keywords"),
+    }
+    cols = {c: f() for c, f in base.items() if c in have}
+    if "payload" in have:
+        body = flatten_payload("payload")
+        cols["payload_text"] = F.substring(body, 1, 20_000) if index_text is None else F.concat_ws(" ", body, index_text)
+    derived = {
+        "tok_a": (["title"], lambda: tokens("title")),
+        "tok_b": (["tags"], lambda: tokens(F.array_join("tags", " "))),
+        "tok_c": (["keywords"], lambda: tokens(F.array_join("keywords", " "))),
+        "tok_d": (["payload"], lambda: tokens("payload_text")),
+        "platform": (["payload"], lambda: F.lower(F.coalesce(F.get_json_object("payload", "$.platform"), F.lit("")))),
+        "version_keys": (["payload"], lambda: version_keys("payload")),
+        "sort_time": (["updated_at", "created_at", "indexed_at"], lambda: F.coalesce("updated_at", "created_at", "indexed_at")),
+    }
+    out = rows.withColumns(cols) if cols else rows
+    more = {c: f() for c, (need, f) in derived.items() if have.issuperset(need)}
+    return out.withColumns(more) if more else out
+
+
+def open_view(index: DataFrame, generation: int | None, columns: Sequence[str] | None = None) -> DataFrame:
+    """The current rows of a generation in searchable form, with what derives from ``columns`` (stored ones; None: all).
+
+    Finding the current row of a key folds whole rows, so columns must be named here to be left out of the scan
+    (search.needed_columns names those of a request); a snapshot of operators.catalog has one row per key and prunes by itself.
     """
-    tags, keywords = sorted_strings("tags"), sorted_strings("keywords")
-    body = flatten_payload("payload") if index_text is None else F.concat_ws(" ", flatten_payload("payload"), index_text)
-    base = rows.withColumns(
-        {
-            "status": F.when(F.length(folded("status")) > 0, folded("status")).otherwise("active"),
-            "tags": tags,
-            "keywords": keywords,
-            "payload_text": F.substring(body, 1, 20_000) if index_text is None else body,
-        }
-    )
-    return base.withColumns(
-        {
-            "tok_a": tokens("title"),
-            "tok_b": tokens(F.array_join("tags", " ")),
-            "tok_c": tokens(F.array_join("keywords", " ")),
-            "tok_d": tokens("payload_text"),
-            "platform": F.lower(F.coalesce(F.get_json_object("payload", "$.platform"), F.lit(""))),
-            "version_keys": version_keys("payload"),
-            "sort_time": F.coalesce("updated_at", "created_at", "indexed_at"),
-        }
-    )
-
-
-def open_view(index: DataFrame, generation: int | None) -> DataFrame:
-    """The current rows of a generation in searchable form."""
-    return searchable(current_rows(index, generation, STORED))
+    keep = [c for c in STORED if columns is None or c in columns]
+    return searchable(current_rows(index, generation, keep))

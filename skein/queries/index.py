@@ -166,7 +166,7 @@ def parse_string_array(spark, folder):
 
 @add("flatten_payload", VIEW + "SELECT entity_type, entity_id, payload_text FROM v")
 def flatten_payload(spark, folder):
-    return view(spark, folder).select(*KEY, "payload_text")
+    return view(spark, folder, "payload").select(*KEY, "payload_text")
 
 
 # the feed
@@ -210,7 +210,7 @@ def outbox_range(spark, folder):
 
 @add("source_versions", VIEW + "SELECT v.entity_type, v.entity_id, coalesce(max(event_order), 0) AS version FROM v LEFT JOIN search_index_events e ON v.entity_type = e.entity_type AND v.entity_id = e.entity_id GROUP BY ALL")
 def source_versions(spark, folder):
-    return outbox.versions_of(view(spark, folder).select(*KEY), _events(spark, folder)).select(*KEY, "version")
+    return outbox.versions_of(view(spark, folder, "status").select(*KEY), _events(spark, folder)).select(*KEY, "version")
 
 
 @add("version_per_entity", f"SELECT trim(entity_type, {BLANKS}) AS entity_type, trim(entity_id, {BLANKS}) AS entity_id, max(event_order) AS version FROM search_index_events GROUP BY 1, 2")
@@ -291,7 +291,7 @@ def tombstones(spark, folder):
 # checks
 @add("status_counts", VIEW + "SELECT entity_type, count(*) AS n FROM v GROUP BY 1")
 def status_counts(spark, folder):
-    return metrics.status_counts(view(spark, folder))
+    return metrics.status_counts(view(spark, folder, "status"))
 
 
 @add("job_summary", "SELECT epoch_us(max(finished_at) FILTER (status = 'success')) AS last_success_us, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running, arg_max(coalesce(error, message), {'a': started_at, 'b': id}) FILTER (status = 'failed') AS last_failure FROM index_sync_log")

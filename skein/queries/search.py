@@ -22,11 +22,13 @@ from skein.session import load, scratch_root
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 CONFIG = Config(synonyms={"tech": ["redwire", "solar gate"], "magic": ["魔法"], "quest": ["adventure"]})
 KEY = ["entity_type", "entity_id"]
+_TAG_COLUMNS = ("status", "category_id", "tags", "created_at", "updated_at", "indexed_at")
 
 
-def view(spark: SparkSession, folder: str) -> DataFrame:
+def view(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The active generation's rows; ``columns``: the stored ones that are wanted (none: all)."""
     active = active_generation(load(spark, folder, "index_generations"))
-    return open_view(load(spark, folder, "search_index"), active and active[0])
+    return open_view(load(spark, folder, "search_index"), active and active[0], columns or None)
 
 
 # The same view in SQL.
@@ -57,7 +59,7 @@ def _request(name: str, sql: str, **parts) -> None:
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         r = checked(Request(**parts))
-        return search.matched(view(spark, folder), r, parse(r.query, CONFIG.synonyms), CONFIG).select(*KEY)
+        return search.matched(view(spark, folder, *search.needed_columns(r)), r, parse(r.query, CONFIG.synonyms), CONFIG).select(*KEY)
 
     QUERIES[name] = run
     SQL[name] = _KEYS + sql
@@ -131,7 +133,7 @@ def postings_match(spark, folder):
 _request("filter_entity_types", "entity_type IN ('post', 'video')", filters=Filters(entity_types=(" Post", "video")))
 _request("filter_category_literal", "category_id IN ('cat-maps', 'CAT-WORLD')", filters=Filters(category_ids=("cat-maps ", "CAT-WORLD")))
 _request("filter_status_default", "true")
-QUERIES["filter_status_explicit"] = lambda spark, folder: search.matched(view(spark, folder), checked(Request(status=" Hidden")), parse("", {}), CONFIG).select(*KEY)
+QUERIES["filter_status_explicit"] = lambda spark, folder: search.matched(view(spark, folder, "status"), checked(Request(status=" Hidden")), parse("", {}), CONFIG).select(*KEY)
 SQL["filter_status_explicit"] = VIEW + "SELECT entity_type, entity_id FROM v WHERE status = 'hidden'"
 _request("tags_any", "list_has_any(tags, ['magic', '魔法', 'economy'])", filters=Filters(tags_any=("Magic", "魔法", "economy")))
 _request("tags_all", "list_has_all(tags, ['survival', 'tech'])", tags=("tech", " SURVIVAL "))
@@ -147,12 +149,12 @@ _request("version_range_exists", "len(list_filter(version_keys, lambda k: k >= 1
 
 @add("version_keys", VIEW + "SELECT entity_type, entity_id, unnest(version_keys) AS k FROM v")
 def version_key_rows(spark, folder):
-    return view(spark, folder).select(*KEY, F.explode("version_keys").alias("k"))
+    return view(spark, folder, "payload").select(*KEY, F.explode("version_keys").alias("k"))
 
 
 @add("tag_literal_search", VIEW + "SELECT DISTINCT t AS tag FROM (SELECT unnest(tags) AS t FROM open) WHERE contains(t, '-gate')")
 def tag_literal_search(spark, folder):
-    rows = view(spark, folder).where(~F.col("status").isin("hidden", "deleted")).select(F.explode("tags").alias("tag"))
+    rows = view(spark, folder, "status", "tags").where(~F.col("status").isin("hidden", "deleted")).select(F.explode("tags").alias("tag"))
     return rows.where(tags.contains_text("tag", "-GATE")).distinct()
 
 
@@ -172,13 +174,13 @@ _SCORED = VIEW + f", scored AS (SELECT *, round({_POP} * 0.2::DOUBLE + {_FRESH}
 
 @add("freshness", VIEW + f"SELECT entity_type, entity_id, round({_FRESH}, 6) AS freshness FROM open")
 def freshness(spark, folder):
-    rows = view(spark, folder).where(~F.col("status").isin("hidden", "deleted"))
+    rows = view(spark, folder, "status", "created_at", "updated_at", "indexed_at").where(~F.col("status").isin("hidden", "deleted"))
     return rows.select(*KEY, F.round(scoring.freshness(NOW, 30.0), 6).alias("freshness"))
 
 
 @add("popularity", VIEW + f"SELECT entity_type, entity_id, round({_POP}, 6) AS popularity FROM open")
 def popularity(spark, folder):
-    rows = view(spark, folder).where(~F.col("status").isin("hidden", "deleted"))
+    rows = view(spark, folder, "status", "weight", "view_count", "like_count", "download_count").where(~F.col("status").isin("hidden", "deleted"))
     return rows.select(*KEY, F.round(scoring.popularity(Scoring()), 6).alias("popularity"))
 
 
@@ -220,7 +222,7 @@ _TEXT = "lower(coalesce(title, '') || ' ' || array_to_string(tags, ' ') || ' ' |
     VIEW + f"SELECT entity_type, entity_id, round(CASE WHEN instr({_TEXT}, '1.20.1') > 0 THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN instr({_TEXT}, 'bedrock') > 0 THEN 0.65::DOUBLE ELSE 0 END, 6) AS boost FROM open",
 )
 def boosts(spark, folder):
-    rows = view(spark, folder).where(~F.col("status").isin("hidden", "deleted"))
+    rows = view(spark, folder, "status", "title", "tags", "keywords", "payload").where(~F.col("status").isin("hidden", "deleted"))
     return rows.select(*KEY, F.round(scoring.boost(parse("bedrock 1.20.1", {})), 6).alias("boost"))
 
 
@@ -278,23 +280,23 @@ _USES = """, uses AS (SELECT entity_type, entity_id, category_id, sort_time, t A
 
 @add("tags_offset_page", VIEW + _USES + "SELECT tag, count(*) AS total_count FROM uses GROUP BY tag ORDER BY total_count DESC, tag LIMIT 50 OFFSET 100")
 def tags_offset_page(spark, folder):
-    return tags.tag_page(tags.tag_index(view(spark, folder)), offset=100).select("tag", "total_count")
+    return tags.tag_page(tags.tag_index(view(spark, folder, *_TAG_COLUMNS)), offset=100).select("tag", "total_count")
 
 
 @add("tags_search_page", VIEW + _USES + "SELECT tag, count(*) AS total_count FROM uses WHERE contains(tag, 'solar') GROUP BY tag ORDER BY tag LIMIT 30")
 def tags_search_page(spark, folder):
-    return tags.tag_page(tags.tag_index(view(spark, folder)), "SOLAR", "name", 30).select("tag", "total_count")
+    return tags.tag_page(tags.tag_index(view(spark, folder, *_TAG_COLUMNS)), "SOLAR", "name", 30).select("tag", "total_count")
 
 
 # aggregation
 @add("total_count", VIEW + "SELECT count(*) AS n FROM open WHERE list_has_any(tok, ['quest', 'adventure'])")
 def total_count(spark, folder):
     r = checked(Request(query="quest"))
-    return search.matched(view(spark, folder), r, parse(r.query, CONFIG.synonyms), CONFIG).agg(F.count("*").alias("n"))
+    return search.matched(view(spark, folder, *search.needed_columns(r)), r, parse(r.query, CONFIG.synonyms), CONFIG).agg(F.count("*").alias("n"))
 
 
 def _facet(name: str, value, sql: str) -> None:
-    QUERIES[name] = lambda spark, folder: search.facet(search.matched(view(spark, folder), checked(Request()), parse("", {}), CONFIG), value())
+    QUERIES[name] = lambda spark, folder: search.facet(search.matched(view(spark, folder, "status", "category_id", "tags"), checked(Request()), parse("", {}), CONFIG), value())
     SQL[name] = VIEW + f"SELECT value, count(*) AS n FROM (SELECT {sql} AS value FROM open) WHERE value IS NOT NULL GROUP BY value ORDER BY n DESC, value LIMIT 20"
 
 
@@ -314,16 +316,16 @@ _facet("facet_tag", lambda: F.explode("tags"), "unnest(tags)")
 FROM uses GROUP BY tag""",
 )
 def tag_index(spark, folder):
-    t = tags.tag_index(view(spark, folder))
+    t = tags.tag_index(view(spark, folder, *_TAG_COLUMNS))
     return t.select("tag", F.array_join("entity_types", ",").alias("entity_types"), "total_count", *[c for c in t.columns if c.endswith("_count") and c != "total_count"], F.unix_micros("updated_at").alias("updated_us"))
 
 
 @add("tag_index_selected", VIEW + _USES + "SELECT tag, count(*) AS total_count FROM uses WHERE tag IN ('magic', 'economy', 'survival') GROUP BY tag")
 def tag_index_selected(spark, folder):
-    return tags.tag_index(view(spark, folder), ["magic", "economy", "survival"]).select("tag", "total_count")
+    return tags.tag_index(view(spark, folder, *_TAG_COLUMNS), ["magic", "economy", "survival"]).select("tag", "total_count")
 
 
 @add("category_counts", VIEW + _USES + "SELECT tag, category_id, count(*) AS n FROM uses WHERE coalesce(category_id, '') <> '' GROUP BY ALL")
 def category_counts(spark, folder):
-    t = tags.tag_index(view(spark, folder))
+    t = tags.tag_index(view(spark, folder, *_TAG_COLUMNS))
     return t.select("tag", F.explode("category_counts").alias("category_id", "n"))
