@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.intervals import merge_intervals, points_in, subtract_intervals, to_intervals
+from skein.session import materialize
 from skein.sources.manifests import ManifestLog
 
 
@@ -18,7 +19,8 @@ def pending_events(events: DataFrame, low_mark: int | None, *, id: str = "id", s
     Method: sequence numbers all of whose events are done are kept as disjoint intervals; they are subtracted from the
     intervals of the numbers that occur, and what falls into the gaps is pending, late commits between done numbers
     included. Numbers up to ``low_mark`` are one interval that needs no table. It is taken off after the rows of an event have
-    been put together, so that a row that tells of an event's end counts wherever it stands in the feed.
+    been put together, so that a row that tells of an event's end counts wherever it stands in the feed. The feed is read
+    and shuffled once; the interval steps read the few numbers beyond the mark.
 
     Defined cases: repeated rows of one id count once; an event is done if any of its rows says so; of several events that
     share a number, the number stays in the gap until all are done, and only the open ones come out; events without id or
@@ -26,8 +28,8 @@ def pending_events(events: DataFrame, low_mark: int | None, *, id: str = "id", s
     not matter; an empty feed gives no rows.
     """
     each = events.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("event_id")).agg(F.max(seq).cast("bigint").alias("event_order"), F.max(F.col(done).isNotNull()).alias("_done"))
-    each = each.where(F.col("event_order").isNotNull() if low_mark is None else F.col("event_order") > low_mark)
-    numbers = each.groupBy("event_order").agg(F.min("_done").alias("_all"))
+    each = materialize(each.where(F.col("event_order").isNotNull() if low_mark is None else F.col("event_order") > low_mark), "events")
+    numbers = materialize(each.groupBy("event_order").agg(F.min("_done").alias("_all")), "numbers")
     gaps = subtract_intervals(to_intervals(numbers, "event_order"), to_intervals(numbers.where("_all"), "event_order"))
     open_numbers = points_in(numbers, "event_order", gaps)
     return each.where(~F.col("_done")).join(open_numbers, "event_order", "left_semi").select("event_id", "event_order")
