@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from skein.session import build_session
 
-    s = build_session("local[4]", partitions=4)
+    s = build_session("local[4]", partitions=2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
