@@ -41,14 +41,14 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, label:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
     ranged = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).mapInArrow(_running(value), schema=_with(df, "_range int, _run bigint")), label)
-    totals = sorted(ranged.groupBy("_range").agg(F.max(F.col("_run") + F.col(value)).alias("t")).collect())
-    shift, at = {}, 0
-    for r in totals:
-        shift[r["_range"]], at = at, at + r["t"]
-    if not shift:
-        return ranged.select(*cols, F.col("_run").alias(out))
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in shift.items() for x in kv]), F.col("_range"))
-    return ranged.select(*cols, (F.col("_run") + base.cast("bigint")).alias(out))
+    totals = {r["_range"]: r.t for r in ranged.groupBy("_range").agg(F.max(F.col("_run") + F.col(value)).alias("t")).collect()}
+    shifts, at = [], 0
+    for k in range(max(totals, default=-1) + 1):
+        shifts.append(at)
+        at += totals.get(k, 0)
+    # one literal array, read by index: the cost of a row does not grow with the number of ranges
+    base = F.get(F.array(*[F.lit(x).cast("bigint") for x in shifts or [0]]), F.col("_range"))
+    return ranged.select(*cols, (F.col("_run") + base).alias(out))
 
 
 def _with(df: DataFrame, more: str):
