@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.operators.documents import build_documents
 from skein.operators.metrics import validate_generation
@@ -38,16 +40,24 @@ class RebuildInProgress(RuntimeError):
     """Another generation is being built."""
 
 
+def bucket_of(buckets: int) -> Column:
+    """The bucket of a row's key."""
+    return F.pmod(F.xxhash64("entity_type", "entity_id"), F.lit(buckets)).cast("int")
+
+
 class Catalog:
     """All generations, their snapshots and the active one.
 
     The whole catalogue is one small manifest; every change appends the next (compare-and-set by its number), so a reader
     that opened the active generation keeps its snapshot, count, items and facets agree, and two writers cannot both win.
-    Snapshots are written by entity type under fresh names and never changed.
+
+    A snapshot is a folder per bucket of keys. Folders are never changed: a batch of events rewrites the buckets that it
+    touches under fresh names (copy on write) and the manifest names which folder holds which bucket, so a small change
+    does not rewrite the index. ``buckets`` is fixed per generation; choose it for buckets of about a gigabyte.
     """
 
-    def __init__(self, spark: SparkSession, home: str, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
-        self.spark, self.home, self.clock = spark, home.rstrip("/"), clock
+    def __init__(self, spark: SparkSession, home: str, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), *, buckets: int = 16):
+        self.spark, self.home, self.clock, self.buckets = spark, home.rstrip("/"), clock, buckets
         self.log = ManifestLog(spark, f"{self.home}/catalog")
 
     def _last(self) -> tuple[int, list[dict]]:
@@ -85,32 +95,58 @@ class Catalog:
         def f(rows: list[dict]) -> None:
             if any(g["status"] == "building" for g in rows):
                 raise RebuildInProgress("a generation is being built")
-            rows.append({"id": max((g["id"] for g in rows), default=0) + 1, "status": "building", "created_at": self.clock().isoformat(), "watermark": watermark, "documents": 0, "path": None, "tags": None, "batch": -1, "failure": None})
+            rows.append({"id": max((g["id"] for g in rows), default=0) + 1, "status": "building", "created_at": self.clock().isoformat(), "watermark": watermark, "documents": 0, "buckets": self.buckets, "files": {}, "schema": None, "tags": None, "batch": -1, "failure": None})
 
         return self._change(f)[-1]["id"]
 
-    def save(self, rows: DataFrame, id: int) -> tuple[str, str, int]:
-        """Writes a snapshot and its tag table: (path, path of tags, rows)."""
-        path = f"{self.home}/generation={id}/{uuid.uuid4().hex}"
-        rows.write.partitionBy("entity_type").parquet(path)
-        stored = self.read(path)
+    def _write(self, rows: DataFrame, g: dict) -> dict[str, str]:
+        """Bucket -> new folder, for the buckets that the rows are in."""
+        root = f"{self.home}/generation={g['id']}/{uuid.uuid4().hex}"
+        keyed = rows.withColumn("_bucket", bucket_of(g["buckets"]))
+        keyed.repartition("_bucket").sortWithinPartitions("_bucket", "entity_type", "entity_id").write.partitionBy("_bucket").parquet(root)
+        have = ManifestLog(self.spark, root).folders("_bucket=")
+        return {k: f"{root}/_bucket={k}" for k in have}
+
+    def save(self, rows: DataFrame, id: int) -> dict:
+        """Writes a whole snapshot and its tag table; what ``put`` needs."""
+        g = self._find(self.generations(), id)
+        part = {"files": self._write(rows, g), "schema": rows.schema.json()}
+        stored = self.read(part)
         tag_index(stored).write.parquet(tags := f"{self.home}/tags={id}/{uuid.uuid4().hex}")
-        return path, tags, stored.count()
-
-    def read(self, path: str) -> DataFrame:
-        """A snapshot; entity_type is a partition column, so its filters prune files."""
-        return self.spark.read.option("basePath", path).parquet(path).withColumn("entity_type", F.col("entity_type").cast("string"))
+        return part | {"tags": tags, "documents": stored.count()}
+
+    def read(self, g: dict, buckets: Sequence[str] | None = None) -> DataFrame:
+        """A snapshot, or some of its buckets; rows lie sorted by type and id, so filters on them skip row groups."""
+        schema = T.StructType.fromJson(json.loads(g["schema"]))
+        paths = [f for k, f in g["files"].items() if buckets is None or k in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def apply(self, g: dict, events: DataFrame, source: DataFrame) -> tuple[dict, DataFrame]:
+        """(the generation with the events applied, report). Only touched buckets are read and written, and only tags
+        that a changed row had or has are counted anew."""
+        keys = events.select(F.btrim("entity_type").alias("entity_type"), F.btrim("entity_id").alias("entity_id")).distinct()
+        touched = [str(r.b) for r in keys.select(bucket_of(g["buckets"]).alias("b")).distinct().collect()]  # at most all buckets
+        before = self.read(g, touched)
+        state, report = apply_events(before, events, source, self.clock())
+        report = materialize(report, "report")
+        new = {"files": g["files"] | self._write(state, g), "schema": g["schema"]}
+        changed = lambda rows: rows.join(keys, ["entity_type", "entity_id"], "left_semi").select(F.explode("tags").alias("tag"))
+        anew = materialize(changed(before).unionByName(changed(self.read(new, touched))).distinct(), "tags")
+        whole = self.read(new)
+        old = self.spark.read.parquet(g["tags"]).join(anew, "tag", "left_anti")
+        old.unionByName(tag_index(whole, anew)).write.parquet(tags := f"{self.home}/tags={g['id']}/{uuid.uuid4().hex}")
+        return g | new | {"tags": tags, "documents": whole.count()}, report
 
     def rows(self, id: int | None = None) -> DataFrame:
-        g = self.active() if id is None else self._find(self.generations(), id)
-        return self.read(g["path"])
+        return self.read(self.active() if id is None else self._find(self.generations(), id))
 
     def tags(self) -> DataFrame:
         return self.spark.read.parquet(self.active()["tags"])
 
-    def put(self, id: int, path: str, tags: str, documents: int, **more) -> None:
-        """The generation's new snapshot."""
-        self._change(lambda rows: self._find(rows, id).update(path=path, tags=tags, documents=documents, **more))
+    def put(self, id: int, part: dict, **more) -> None:
+        """The generation's new snapshot, as ``save`` or ``apply`` gave it."""
+        kept = {k: part[k] for k in ("files", "schema", "tags", "documents")}
+        self._change(lambda rows: self._find(rows, id).update(**kept, **more))
 
     def activate(self, id: int) -> None:
         """The generation becomes active, the one before it retired, in one step. Also brings a retired one back."""
@@ -176,18 +212,17 @@ def rebuild(catalog: Catalog, source: Callable[[], DataFrame], events: Callable[
     try:
         feed = events()
         versions = feed.where(F.col("event_order") <= mark).groupBy(F.btrim("entity_type").alias("entity_type"), F.btrim("entity_id").alias("entity_id")).agg(F.max("event_order").alias("version"))
-        path, tags, n = catalog.save(index_rows(build_documents(source()), catalog.clock(), versions), id)
-        check = validate_generation(catalog.read(path), n).first()
+        part = catalog._find(catalog.generations(), id) | catalog.save(index_rows(build_documents(source()), catalog.clock(), versions), id)
+        check = validate_generation(catalog.read(part), part["documents"]).first()
         if not check.valid or check.rows != check.keys:
             raise ValueError(f"invalid generation: {check.rows} rows, {check.keys} keys, {check.blank_keys} blank keys")
         for _ in range(rounds):
             upper = high_mark(events())
             if upper <= mark:
                 break
-            state, _ = apply_events(catalog.read(path), outbox_range(events(), mark, upper), source(), catalog.clock())
-            path, tags, n = catalog.save(state, id)
+            part, _ = catalog.apply(part, outbox_range(events(), mark, upper), source())
             mark = upper
-        catalog.put(id, path, tags, n, watermark=mark)
+        catalog.put(id, part, watermark=mark)
         catalog.activate(id)
     except Exception as e:
         catalog.fail(id, str(e))
@@ -199,8 +234,6 @@ def rebuild_entity(catalog: Catalog, source: DataFrame, entity_type: str, entity
     """Re-reads one entity into the active generation; the report."""
     event = catalog.spark.createDataFrame([(entity_type, entity_id, "upsert", version, catalog.clock(), "rebuild")], "entity_type string, entity_id string, action string, event_order bigint, created_at timestamp, id string")
     g = catalog.active()
-    state, report = apply_events(catalog.rows(), event, source, catalog.clock())
-    report = materialize(report, "report")
-    path, tags, n = catalog.save(state, g["id"])
-    catalog.put(g["id"], path, tags, n)
+    part, report = catalog.apply(g, event, source)
+    catalog.put(g["id"], part)
     return report

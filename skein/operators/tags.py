@@ -21,15 +21,19 @@ def tag_uses(view: DataFrame) -> DataFrame:
     return rows.withColumn("tag", folded("tag")).where((F.length("tag") > 0) & ~F.col("tag").rlike(OPAQUE_ID))
 
 
-def tag_index(view: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+def tag_index(view: DataFrame, only: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """tag, entity_types (sorted), total_count, a count per entity type, category_counts (map), updated_at.
 
     One shuffle by tag: uses fold by (tag, category) first, so a tag that a third of the rows carry arrives as one row per
-    category and task. ``only`` restricts it to some tags (after a small change); an empty list gives no rows.
+    category and task. ``only`` (a list, or a table with a column tag) restricts it to some tags (after a small change); an empty one gives
+    no rows.
     """
-    rows = tag_uses(view if only is None else view.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in only]).cast("array<string>"))))
-    if only is not None:
-        rows = rows.where(F.col("tag").isin(list(only)))
+    if isinstance(only, DataFrame):
+        rows = tag_uses(view).join(only.select("tag").distinct(), "tag", "left_semi")
+    elif only is not None:
+        rows = tag_uses(view.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in only]).cast("array<string>")))).where(F.col("tag").isin(list(only)))
+    else:
+        rows = tag_uses(view)
     counts = [F.count_if(F.col("entity_type") == t).alias(f"{t}_count") for t in ENTITY_TYPES]
     by_category = rows.groupBy("tag", F.coalesce("category_id", F.lit("")).alias("category")).agg(F.max("time").alias("time"), F.collect_set("entity_type").alias("types"), F.count("*").alias("n"), *counts)
     per = F.collect_list(F.when(F.col("category") != "", F.struct("category", "n")))

@@ -24,6 +24,10 @@ class ManifestLog:
             return []
         return sorted(n for s in self._fs.listStatus(folder) if (n := s.getPath().getName()).endswith(".json"))
 
+    def folders(self, prefix: str) -> list[str]:
+        """What follows ``prefix`` in the names of the folders here."""
+        return sorted(n[len(prefix) :] for s in self._fs.listStatus(self._path(self.folder)) if (n := s.getPath().getName()).startswith(prefix))
+
     def _read(self, name: str) -> dict:
         stream = self._fs.open(self._path(f"{self.folder}/{name}"))
         try:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.operators.catalog import Catalog, apply_events
+from skein.operators.catalog import Catalog
 from skein.plans.request import ENTITY_TYPES
 from skein.session import materialize
 from skein.sources.outbox import ATTEMPTS
@@ -48,9 +48,8 @@ class OutboxStream:
         good, bad = rows.where(F.coalesce(fine, F.lit(False))), rows.where(~F.coalesce(fine, F.lit(False)))
         failed = bad.withColumn("attempts", F.col("attempts") + 1).unionByName(old.where(F.col("attempts") >= self.attempts))
         failed.write.mode("overwrite").parquet(dead := f"{self.checkpoint}/dead/{n:012d}")
-        state, _ = apply_events(self.catalog.rows(), good, self.source(), self.catalog.clock())
-        path, tags, count = self.catalog.save(state, g["id"])
-        self.catalog.put(g["id"], path, tags, count, batch=n, dead=dead)
+        part, _ = self.catalog.apply(g, good, self.source())
+        self.catalog.put(g["id"], part, batch=n, dead=dead)
 
     def start(self, events: DataFrame, *, available_now: bool = False, every: str = "2 seconds") -> StreamingQuery:
         """Starts the query on a streaming DataFrame of EVENT_SCHEMA; offsets take the place of leases."""

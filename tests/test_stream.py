@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.catalog import Catalog, IndexUnavailable, RebuildInProgress, rebuild, rebuild_entity
 from skein.operators.search import search
+from skein.operators.tags import tag_index
 from skein.plans.request import Request
 from skein.sources.adapters import ROW
 from skein.sources.outbox import eligible
@@ -98,15 +99,20 @@ def test_stream_applies_late_repeated_and_broken_events_once(spark, tmp_path):
     w.start(event_stream(spark, inbox), available_now=True).awaitTermination()
     assert titles(c) == {"1": ("one, again", "active", 10), "2": ("two", "deleted", 11), "3": ("three", "active", 13), "4": ("four", "deleted", 14)}
     assert [(r.id, r.attempts) for r in w.dead().collect()] == [("x", 2)]
-    before = c.active()["path"]
+    before = c.active()["files"]
     w.apply(late, c.active()["batch"])  # the same batch again
-    assert c.active()["path"] == before
+    assert c.active()["files"] == before
+    whole = {r.tag: r.total_count for r in tag_index(c.rows()).collect()}
+    assert {r.tag: r.total_count for r in c.tags().collect()} == whole == {"mod": 2}
 
 
 def test_entity_rebuild(spark, tmp_path):
     c = Catalog(spark, f"file://{tmp_path}/c", lambda: NOW)
-    rebuild(c, lambda: source_rows(spark, {"1": "old"}), lambda: feed_rows(spark))
+    rebuild(c, lambda: source_rows(spark, {"1": "old", "2": "x", "3": "y"}), lambda: feed_rows(spark))
+    before = c.active()["files"]
     report = rebuild_entity(c, source_rows(spark, {"1": "new"}), "post", "1", 3)
+    after = c.active()["files"]
+    assert [k for k in after if after[k] != before.get(k)] == [k for k in before if after[k] != before[k]] and len(after) - len([k for k in after if after[k] == before.get(k)]) == 1  # one bucket was rewritten
     assert report.collect()[0].applied and titles(c)["1"] == ("new", "active", 3)
     assert not rebuild_entity(c, source_rows(spark, {"1": "older"}), "post", "1", 2).collect()[0].applied
     assert titles(c)["1"][0] == "new"
