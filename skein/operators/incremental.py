@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.operators.intervals import merge_intervals, points_in, subtract_intervals, to_intervals
 from skein.session import materialize
@@ -36,25 +39,29 @@ def pending_events(events: DataFrame, low_mark: int | None, *, id: str = "id", s
 
 
 class IncrementalJob:
-    """Runs a transformation over the records whose sequence numbers were not yet processed.
+    """Runs a transformation over the records that were not yet processed. A record is a sequence number and an id.
 
-    State is a table of disjoint intervals of processed numbers in ``home`` (a folder all executors share). A run
+    State is a table of disjoint intervals of the numbers met so far in ``home`` (a folder all executors share), beside the
+    inputs of the committed runs. A run
       1. reads the intervals of the last commit,
-      2. takes the source rows whose number lies in none of them and writes them as this run's input (so that a second
-         look at a moving source cannot differ from the first),
+      2. takes the source rows whose number lies in none of them, and of the rows whose number does those whose id no
+         committed input has under that number, and writes them as this run's input (so that a second look at a moving
+         source cannot differ from the first),
       3. writes the output and the merged intervals under a fresh name,
       4. commits both by creating one small manifest file that must not exist yet.
     A run that dies before 4 leaves nothing that anyone reads; the next repeats it. A number that appears late between
-    processed ones is a gap and is taken then. Two runs at once: the second fails to create the manifest. Rows without a
-    sequence number are ignored. Numbers must name one record, or all records of a number must appear together.
+    processed ones is a gap and is taken then, an id that appears late under a processed number is taken alone. Two runs at
+    once: the second fails to create the manifest. Rows without a sequence number are ignored; rows of one number and id
+    are one record (later copies of it are not taken); a null id is an id of its own. A source without the column ``id``
+    names its records by number; a job that began so cannot go on by id, nor the other way round.
     """
 
-    def __init__(self, spark: SparkSession, home: str, seq: str = "event_order"):
-        self.spark, self.home, self.seq = spark, home.rstrip("/"), seq
+    def __init__(self, spark: SparkSession, home: str, seq: str = "event_order", id: str = "id"):
+        self.spark, self.home, self.seq, self.id = spark, home.rstrip("/"), seq, id
         self.log = ManifestLog(spark, f"{self.home}/commits")
 
     def processed(self) -> DataFrame:
-        """Disjoint intervals (lo, hi) of the numbers processed so far."""
+        """Disjoint intervals (lo, hi) of the numbers under which records were processed so far."""
         _, last = self.log.last()
         return self.spark.read.parquet(last["intervals"]) if last else self.spark.createDataFrame([], "lo bigint, hi bigint")
 
@@ -63,16 +70,32 @@ class IncrementalJob:
         paths = [c["output"] for c in self.log.all()]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def _new(self, source: DataFrame, commits: list[dict], keys: list[str]) -> DataFrame:
+        """The source rows of the records that no commit has. Only numbers and ids are compared; whole rows move once."""
+        records = materialize(source.where(F.col(self.seq).isNotNull()).select(*keys).distinct(), "records")
+        covered = points_in(records, self.seq, self.processed()).withColumn("_met", F.lit(True))
+        told = records.join(covered, self.seq, "left")
+        new = told.where(F.col("_met").isNull()).select(*keys)
+        same = lambda a, b: reduce(and_, [a[k].eqNullSafe(b[k]) for k in keys])
+        if self.id in keys:
+            fields = T.StructType([source.schema[k] for k in keys])
+            seen = self.spark.read.schema(fields).parquet(*[c["input"] for c in commits])
+            again = told.where(F.col("_met")).select(*keys)
+            new = new.unionByName(again.join(seen, same(again, seen), "left_anti"))
+        return source.join(new, same(source, new), "left_semi")
+
     def run(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> dict:
         """One run; the manifest that was committed."""
-        n, _ = self.log.last()
-        old, name = self.processed(), f"{n:012d}-{uuid.uuid4().hex}"
-        numbers = source.select(self.seq)
-        fresh = points_in(numbers, self.seq, subtract_intervals(to_intervals(numbers, self.seq), old))
-        source.join(fresh, self.seq, "left_semi").write.parquet(taken := f"{self.home}/input/{name}")
+        commits = self.log.all()
+        n, by_id = len(commits), self.id in source.columns
+        if any(c.get("by_id", by_id) != by_id for c in commits):
+            raise ValueError(f"the runs before named records by {'number' if by_id else self.id}")
+        name = f"{n:012d}-{uuid.uuid4().hex}"
+        new = self._new(source, commits, [self.seq, self.id] if by_id else [self.seq]) if commits else source.where(F.col(self.seq).isNotNull())
+        new.write.parquet(taken := f"{self.home}/input/{name}")
         rows = self.spark.read.schema(source.schema).parquet(taken)
         transform(rows).write.parquet(output := f"{self.home}/output/{name}")
-        merge_intervals(old.unionByName(to_intervals(rows, self.seq))).write.parquet(intervals := f"{self.home}/intervals/{name}")
-        manifest = {"n": n, "input": taken, "output": output, "intervals": intervals}
+        merge_intervals(self.processed().unionByName(to_intervals(rows, self.seq))).write.parquet(intervals := f"{self.home}/intervals/{name}")
+        manifest = {"n": n, "input": taken, "output": output, "intervals": intervals, "by_id": by_id}
         self.log.append(n, manifest)
         return manifest

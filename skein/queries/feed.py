@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.operators.changes import apply_changes
 from skein.operators.current import active_generation
-from skein.operators.incremental import pending_events
+from skein.operators.incremental import IncrementalJob, pending_events
 from skein.operators.intervals import to_intervals
-from skein.session import load
+from skein.session import load, scratch
 
 #: White space as DuckDB's trim takes it; the same set as functions.terms.SPACES.
 BLANKS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)"
@@ -52,6 +52,18 @@ def p3_processed_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return to_intervals(each.groupBy("n").agg(F.min("done").alias("done")).where("done"), "n")
 
 
+def p3_increments(spark: SparkSession, folder: str, runs: int = 3) -> DataFrame:
+    """The events as an incremental job takes them, each once, while the feed fills up out of order: run k of ``runs`` also
+    sees the hours k - 1 modulo ``runs``, so numbers come late between processed ones and ids under processed numbers."""
+    feed = load(spark, folder, "search_index_events")
+    hour = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 3_600_000_000)
+    slot = F.coalesce(F.pmod(hour, F.lit(runs)), F.lit(0))
+    job = IncrementalJob(spark, scratch(spark, "increments"))
+    for k in range(runs):
+        job.run(feed.where(slot <= k), lambda rows: rows.select(F.col("id").alias("event_id"), "event_order").distinct())
+    return job.output()
+
+
 _CHANGES = f"""
 WITH g AS (SELECT id, source_high_watermark FROM index_generations WHERE status = 'active'),
 base AS (
@@ -94,6 +106,7 @@ GROUP BY id HAVING count(processed_at) = 0""",
 WITH each AS (SELECT id, max(event_order) AS n, count(processed_at) > 0 AS done FROM search_index_events GROUP BY id),
 done AS (SELECT n FROM each GROUP BY n HAVING bool_and(done))
 SELECT min(n) AS lo, max(n) AS hi FROM (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM done) GROUP BY g""",
+    "p3_increments": "SELECT DISTINCT id AS event_id, event_order FROM search_index_events WHERE event_order IS NOT NULL",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_state": p2_state, "p3_found": p3_found, "p3_processed_intervals": p3_processed_intervals}
+QUERIES = {"p2_found": p2_found, "p2_state": p2_state, "p3_found": p3_found, "p3_processed_intervals": p3_processed_intervals, "p3_increments": p3_increments}

@@ -57,12 +57,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh name in the shared folder, deleted with the scratch tables."""
+    path = f"{scratch_root(spark)}/skein/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/skein/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _SCRATCH.append((spark, path))
+    df.write.parquet(path := scratch(spark, label))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -121,6 +121,22 @@ def test_increments_survive_failures_and_late_rows(spark, tmp_path):
         job.log.append(2, {})  # two writers: the second loses
 
 
+def test_increments_take_a_late_id_of_an_old_number(spark, tmp_path):
+    job = IncrementalJob(spark, f"file://{tmp_path}/job")
+    feed = [(1, "a", "x"), (1, "a", "x"), (2, "b", "x"), (None, "n", "x")]
+    run = lambda *more: job.run(spark.createDataFrame([*feed, *more], "event_order bigint, id string, v string"), lambda d: d.select("event_order", "id").distinct())
+    done = lambda: sorted((r.event_order, str(r.id)) for r in job.output().collect())
+    run()
+    run((1, "late", "x"), (1, "a", "seen again"), (4, "c", "x"))
+    assert done() == [(1, "a"), (1, "late"), (2, "b"), (4, "c")]
+    run((1, "late", "x"), (2, None, "x"), (4, "c", "x"))
+    run((1, "late", "x"), (2, None, "x"), (4, "c", "x"))
+    assert done() == [(1, "a"), (1, "late"), (2, "None"), (2, "b"), (4, "c")]
+    assert sorted((r.lo, r.hi) for r in job.processed().collect()) == [(1, 2), (4, 4)]
+    with pytest.raises(ValueError):
+        job.run(spark.createDataFrame([(9,)], "event_order bigint"), lambda d: d)
+
+
 def test_current_and_listed(spark):
     rows = [(1, "a", "1", 1, t(1), "x", " Hidden"), (1, "a", "1", 2, t(1), "y", None), (1, "a", "1", 2, t(1), "y", None), (1, "a", "1", 2, t(0), "z", "hidden"), (1, "b", "1", None, None, "n", "DELETED\t"), (2, "a", "9", 9, t(1), "w", "active")]
     df = spark.createDataFrame(rows, "generation_id bigint, entity_type string, entity_id string, source_version bigint, indexed_at timestamp, title string, status string")
