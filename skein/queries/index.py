@@ -205,7 +205,8 @@ def claim_eligible(spark, folder):
 
 @add("outbox_range", _LOOK + " SELECT id, event_order FROM look WHERE event_order > 1600057 AND event_order <= 1860017 AND NOT (coalesce(attempts, 0) >= 10 AND failed_at IS NOT NULL AND processed_at IS NULL)")
 def outbox_range(spark, folder):
-    return outbox.outbox_range(outbox.latest_look(_events(spark, folder)), 1_600_057, 1_860_017).select("id", "event_order")
+    bounds = outbox.catch_up_bounds(load(spark, folder, "index_generations"), _events(spark, folder))
+    return outbox.outbox_range(outbox.latest_look(_events(spark, folder)), *bounds).select("id", "event_order")
 
 
 @add("source_versions", VIEW + "SELECT v.entity_type, v.entity_id, coalesce(max(event_order), 0) AS version FROM v LEFT JOIN search_index_events e ON v.entity_type = e.entity_type AND v.entity_id = e.entity_id GROUP BY ALL")

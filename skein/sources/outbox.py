@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.terms import folded
+from skein.operators.current import active_generation
 from skein.operators.writes import latest_per_key
 
 #: Events of one take, most in a take, lease, pause after a failure (both seconds), attempts.
@@ -58,3 +60,11 @@ def versions_of(keys: DataFrame, events: DataFrame) -> DataFrame:
 def high_mark(events: DataFrame) -> int:
     """The highest order of a feed as read now, 0 if it is empty."""
     return events.agg(F.max("event_order")).first()[0] or 0
+
+
+def catch_up_bounds(generations: DataFrame, events: DataFrame) -> tuple[int, int]:
+    """(after, upto) of what the active generation lacks: from its watermark (0 without one) to that of the generation
+    being built, and to the feed's end where none is."""
+    active = active_generation(generations)
+    building = generations.where(folded("status") == "building").agg(F.max("source_high_watermark")).first()[0]
+    return active[1] if active else 0, high_mark(events) if building is None else building

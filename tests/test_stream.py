@@ -9,6 +9,7 @@ from skein.operators.catalog import Catalog, IndexUnavailable, RebuildInProgress
 from skein.operators.search import search
 from skein.operators.tags import tag_index
 from skein.plans.request import Request
+from skein.queries import index
 from skein.sources.adapters import ROW
 from skein.sources.outbox import eligible
 from skein.streaming.outbox import EVENT_SCHEMA, OutboxStream, event_stream
@@ -123,3 +124,16 @@ def test_eligible_events(spark):
     df = spark.createDataFrame(rows, "id string, processed_at timestamp, locked_at timestamp, failed_at timestamp, attempts int")
     assert {r.id for r in eligible(df, NOW).collect()} == {"ok", "expired"}
     assert eligible(df.where(F.lit(False)), NOW).count() == 0
+
+
+def test_outbox_range_follows_the_generations(spark, tmp_path):
+    feed_rows(spark, *[(f"e{n}", "1", "update", n) for n in (3, 4, 5, 8, 9)]).withColumn("updated_at", F.col("created_at")).write.parquet(f"{tmp_path}/search_index_events.parquet")
+
+    def ids(*generations):
+        rows = spark.createDataFrame(generations, "id bigint, status string, source_high_watermark bigint")
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/index_generations.parquet")
+        return sorted(r.id for r in index.outbox_range(spark, str(tmp_path)).collect())
+
+    assert ids((1, "retired", 9), (2, "active", 3), (3, "building", 8)) == ["e4", "e5", "e8"]
+    assert ids((2, "active", 4), (3, "failed", 5)) == ["e5", "e8", "e9"]
+    assert ids((3, "failed", 5)) == ["e3", "e4", "e5", "e8", "e9"]
