@@ -6,6 +6,8 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from skein.operators.view import searchable
 from skein.operators.writes import tombstone, upsert
 from skein.session import materialize
 from skein.sources.manifests import ManifestLog
-from skein.sources.outbox import high_mark, latest_per_entity, outbox_range
+from skein.sources.outbox import high_mark, latest_per_entity, not_given_up
 
 #: Which status may follow which.
 NEXT = {"building": ("active", "failed"), "active": ("retired",), "retired": ("active",), "failed": ()}
@@ -36,6 +38,10 @@ class IndexUnavailable(RuntimeError):
     """No generation is active."""
 
 
+class Moved(RuntimeError):
+    """The catalogue changed since it was read."""
+
+
 class RebuildInProgress(RuntimeError):
     """Another generation is being built."""
 
@@ -69,10 +75,18 @@ class Catalog:
     def generations(self) -> list[dict]:
         return self._last()[1]
 
-    def _change(self, f: Callable[[list[dict]], None]) -> list[dict]:
+    def _change(self, f: Callable[[list[dict]], None], at: int | None = None) -> list[dict]:
+        """The next manifest; Moved if another came first (``at``: the number of manifests that there may be)."""
         n, rows = self._last()
+        if at is not None and n != at:
+            raise Moved(f"{n - at} changes since")
         f(rows)
-        self.log.append(n, {"layout": LAYOUT, "generations": rows})
+        try:
+            self.log.append(n, {"layout": LAYOUT, "generations": rows})
+        except Exception as e:
+            if self.log.last()[0] > n:
+                raise Moved("another change came first") from e
+            raise
         return rows
 
     def _find(self, rows: list[dict], id: int) -> dict:
@@ -143,21 +157,41 @@ class Catalog:
     def tags(self) -> DataFrame:
         return self.spark.read.parquet(self.active()["tags"])
 
-    def put(self, id: int, part: dict, **more) -> None:
-        """The generation's new snapshot, as ``save`` or ``apply`` gave it."""
-        kept = {k: part[k] for k in ("files", "schema", "tags", "documents")}
-        self._change(lambda rows: self._find(rows, id).update(**kept, **more))
+    def _fill(self, g: dict, part: dict, more: dict) -> None:
+        g.update({k: part[k] for k in ("files", "schema", "tags", "documents")}, **more)
+
+    def put(self, id: int, part: dict, *, seen: dict | None = None, **more) -> None:
+        """The generation's new snapshot, as ``save`` or ``apply`` gave it. ``seen``: the generation as it was read; Moved
+        if it is another by now, so that a change is never put on one that was replaced or retired meanwhile."""
+
+        def f(rows: list[dict]) -> None:
+            g = self._find(rows, id)
+            if seen is not None and g != seen:
+                raise Moved(f"generation {id} changed")
+            self._fill(g, part, more)
+
+        self._change(f)
+
+    def _flip(self, rows: list[dict], id: int) -> None:
+        self._turn(self._find(rows, id), "active", activated_at=self.clock().isoformat())
+        for g in rows:
+            if g["status"] == "active" and g["id"] != id:
+                self._turn(g, "retired", retired_at=self.clock().isoformat())
 
     def activate(self, id: int) -> None:
         """The generation becomes active, the one before it retired, in one step. Also brings a retired one back."""
+        self._change(lambda rows: self._flip(rows, id))
+
+    def switch(self, id: int, part: dict, at: int, **more) -> None:
+        """``put`` and ``activate`` in one manifest; Moved if there are more than the ``at`` manifests of the last look.
+        The stream's last batch and dead letters go over from the generation before."""
 
         def f(rows: list[dict]) -> None:
-            self._turn(self._find(rows, id), "active", activated_at=self.clock().isoformat())
-            for g in rows:
-                if g["status"] == "active" and g["id"] != id:
-                    self._turn(g, "retired", retired_at=self.clock().isoformat())
+            kept = next(({k: g[k] for k in ("batch", "dead") if k in g} for g in rows if g["status"] == "active"), {})
+            self._fill(self._find(rows, id), part, kept | more)
+            self._flip(rows, id)
 
-        self._change(f)
+        self._change(f, at)
 
     def fail(self, id: int, reason: str) -> None:
         self._change(lambda rows: self._turn(self._find(rows, id), "failed", failure=reason[:1000]))
@@ -200,40 +234,53 @@ def apply_events(current: DataFrame, events: DataFrame, source: DataFrame, at: d
     return second, written.unionByName(removed)
 
 
-def rebuild(catalog: Catalog, source: Callable[[], DataFrame], events: Callable[[], DataFrame], *, rounds: int = 5) -> int:
+def rebuild(catalog: Catalog, source: Callable[[], DataFrame], events: Callable[[], DataFrame]) -> int:
     """A full rebuild beside the active generation; its id.
 
-    Watermark first, then build all kinds, validate, apply what the feed got meanwhile (bounded by the watermark of each
-    round), and switch. On any error the new generation turns failed and the active one stays.
+    Watermark first, then build all kinds, validate, apply what the feed got meanwhile, and switch. Rounds of catching up
+    go on, without a cap, until a look at the feed finds no event that the build has not seen, late ones below the watermark
+    included. The switch holds only if the catalogue is the one from before that look: what the stream put on the
+    old generation before it was in the feed then, and what it puts there after it makes the switch fail and the look
+    repeat; what comes later finds the new generation active. On any error the new generation turns failed and the
+    active one stays.
     """
     catalog.recover()
     mark = high_mark(events())
     id = catalog.create(mark)
+    event = ["id", "entity_type", "entity_id", "event_order"]
     try:
-        feed = events()
-        versions = feed.where(F.col("event_order") <= mark).groupBy(F.btrim("entity_type").alias("entity_type"), F.btrim("entity_id").alias("entity_id")).agg(F.max("event_order").alias("version"))
+        seen = materialize(events().where(F.col("event_order") <= mark).select(*event).distinct(), "seen")
+        versions = seen.groupBy(F.btrim("entity_type").alias("entity_type"), F.btrim("entity_id").alias("entity_id")).agg(F.max("event_order").alias("version"))
         part = catalog._find(catalog.generations(), id) | catalog.save(index_rows(build_documents(source()), catalog.clock(), versions), id)
         check = validate_generation(catalog.read(part), part["documents"]).first()
         if not check.valid or check.rows != check.keys:
             raise ValueError(f"invalid generation: {check.rows} rows, {check.keys} keys, {check.blank_keys} blank keys")
-        for _ in range(rounds):
-            upper = high_mark(events())
-            if upper <= mark:
-                break
-            part, _ = catalog.apply(part, outbox_range(events(), mark, upper), source())
-            mark = upper
-        catalog.put(id, part, watermark=mark)
-        catalog.activate(id)
+        while True:
+            at, _ = catalog.log.last()
+            feed = events()
+            same = reduce(and_, [feed[c].eqNullSafe(seen[c]) for c in event])
+            rest = materialize(not_given_up(feed).where(F.col("event_order").isNotNull()).join(seen, same, "left_anti"), "rest")
+            if rest.isEmpty():
+                try:
+                    catalog.switch(id, part, at, watermark=mark)
+                    return id
+                except Moved:
+                    continue
+            part, _ = catalog.apply(part, rest, source())
+            seen, mark = materialize(seen.unionByName(rest.select(*event).distinct()), "seen"), max(mark, high_mark(rest))
     except Exception as e:
         catalog.fail(id, str(e))
         raise
-    return id
 
 
 def rebuild_entity(catalog: Catalog, source: DataFrame, entity_type: str, entity_id: str, version: int) -> DataFrame:
     """Re-reads one entity into the active generation; the report."""
     event = catalog.spark.createDataFrame([(entity_type, entity_id, "upsert", version, catalog.clock(), "rebuild")], "entity_type string, entity_id string, action string, event_order bigint, created_at timestamp, id string")
-    g = catalog.active()
-    part, report = catalog.apply(g, event, source)
-    catalog.put(g["id"], part)
-    return report
+    while True:
+        g = catalog.active()
+        part, report = catalog.apply(g, event, source)
+        try:
+            catalog.put(g["id"], part, seen=g)
+            return report
+        except Moved:
+            continue

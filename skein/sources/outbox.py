@@ -35,10 +35,15 @@ def claim(events: DataFrame, now: datetime, batch: int = BATCH, **limits: int) -
     return eligible(events, now, **limits).orderBy("event_order", "id").limit(min(max(batch, 1), MOST))
 
 
-def outbox_range(events: DataFrame, after: int, upto: int, *, attempts: int = ATTEMPTS) -> DataFrame:
-    """Events of (after, upto], without those given up (attempts used up, failed, not processed)."""
+def not_given_up(events: DataFrame, *, attempts: int = ATTEMPTS) -> DataFrame:
+    """Events without those given up (attempts used up, failed, not processed)."""
     given_up = (F.coalesce("attempts", F.lit(0)) >= attempts) & F.col("failed_at").isNotNull() & F.col("processed_at").isNull()
-    return events.where((F.col("event_order") > after) & (F.col("event_order") <= upto) & ~given_up)
+    return events.where(~given_up)
+
+
+def outbox_range(events: DataFrame, after: int, upto: int, *, attempts: int = ATTEMPTS) -> DataFrame:
+    """Events of (after, upto], without those given up."""
+    return not_given_up(events.where((F.col("event_order") > after) & (F.col("event_order") <= upto)), attempts=attempts)
 
 
 def latest_per_entity(events: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.operators.catalog import Catalog
+from skein.operators.catalog import Catalog, Moved
 from skein.plans.request import ENTITY_TYPES
 from skein.session import materialize
 from skein.sources.outbox import ATTEMPTS
@@ -38,6 +38,14 @@ class OutboxStream:
         return self._dead()
 
     def apply(self, batch: DataFrame, n: int) -> None:
+        """The batch on the active generation, again if that was replaced or changed meanwhile."""
+        while True:
+            try:
+                return self._apply(batch, n)
+            except Moved:
+                continue
+
+    def _apply(self, batch: DataFrame, n: int) -> None:
         g = self.catalog.active()
         if n <= g["batch"]:
             return
@@ -49,7 +57,7 @@ class OutboxStream:
         failed = bad.withColumn("attempts", F.col("attempts") + 1).unionByName(old.where(F.col("attempts") >= self.attempts))
         failed.write.mode("overwrite").parquet(dead := f"{self.checkpoint}/dead/{n:012d}")
         part, _ = self.catalog.apply(g, good, self.source())
-        self.catalog.put(g["id"], part, batch=n, dead=dead)
+        self.catalog.put(g["id"], part, seen=g, batch=n, dead=dead)
 
     def start(self, events: DataFrame, *, available_now: bool = False, every: str = "2 seconds") -> StreamingQuery:
         """Starts the query on a streaming DataFrame of EVENT_SCHEMA; offsets take the place of leases."""

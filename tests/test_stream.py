@@ -79,6 +79,51 @@ def test_rebuild_catches_up_and_keeps_post_bodies_private(spark, tmp_path):
     assert {r.tag: r.total_count for r in c.tags().collect()} == {"mod": 1}
 
 
+def test_rebuild_catches_up_until_nothing_is_left(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/c", lambda: NOW, buckets=1)
+    feed = [("a", "1", "update", 50)]
+    late = [("k", "2", "delete", 7)] + [(f"e{n}", "1", "update", 50 + n) for n in range(1, 7)]  # the first lies below the mark
+    looks = []
+
+    def events_now():
+        looks.append(1)
+        if len(looks) > 2 and late:
+            feed.append(late.pop(0))
+        return feed_rows(spark, *feed)
+
+    rebuild(c, lambda: source_rows(spark, {"1": "one", "2": "two"}), events_now)
+    assert titles(c) == {"1": ("one", "active", 56), "2": ("two", "deleted", 7)} and c.active()["watermark"] == 56
+
+
+def test_switch_and_stream_lose_no_event(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/c", lambda: NOW, buckets=1)
+    feed, looks = [("a", "1", "update", 5)], []
+    posts = lambda: source_rows(spark, {"1": "one", "2": "two", "3": "three"})
+    old = rebuild(c, posts, lambda: feed_rows(spark, *feed))
+    w = OutboxStream(c, posts, f"file://{tmp_path}/ck")
+
+    def events_now():
+        looks.append(1)
+        seen = feed_rows(spark, *feed)
+        if len(looks) == 3:  # the stream gets and commits an event between the last look and the switch
+            feed.append(("b", "2", "delete", 6))
+            w.apply(events(spark, feed[-1], ("x", " ", "update", 6)), 0)
+        return seen
+
+    new = rebuild(c, posts, events_now)
+    assert c.active()["id"] == new != old and titles(c)["2"] == ("two", "deleted", 6)
+    assert c.active()["batch"] == 0 and [r.id for r in w.dead().collect()] == ["x"]
+    turned = []
+
+    def posts_then_switch():  # the switch comes while a batch is at work on the generation before
+        if not turned:
+            turned.append(rebuild(c, posts, lambda: feed_rows(spark, *feed)))
+        return posts()
+
+    OutboxStream(c, posts_then_switch, f"file://{tmp_path}/ck").apply(events(spark, ("c", "3", "delete", 8)), 1)
+    assert c.active()["id"] == turned[0] and titles(c)["3"] == ("three", "deleted", 8) and c.active()["batch"] == 1
+
+
 def test_failed_rebuild_leaves_the_active_generation(spark, tmp_path):
     c = Catalog(spark, f"file://{tmp_path}/c", lambda: NOW)
     good = rebuild(c, lambda: source_rows(spark, {"1": "x"}), lambda: feed_rows(spark))
