@@ -104,6 +104,18 @@ def test_mix_reaches_targets_and_reports_shortage(spark):
     assert len(soft) == 23
 
 
+def test_mix_reports_soft_members(spark):
+    docs = corpus(spark, {"wiki": 40, "guide": 30, None: 30, "unknown": 5})
+    targets = spark.createDataFrame([("wiki", 0.5, 2), ("guide", 0.5, 3)], "source string, target_share double, max_repeats int")
+    mix = mix_sources(docs, targets)
+    report, drawn = mix.report.collect(), Counter()
+    for r in mix.rates.collect():
+        drawn[r.source] += r.n_tokens * r.repeats
+    assert drawn[None] > 0 and sum(r.drawn_soft for r in report) == pytest.approx(drawn[None])
+    assert all(r.drawn == drawn[r.source] and r.actual_share == pytest.approx((r.drawn + r.drawn_soft) / sum(drawn.values())) for r in report)
+    assert sum(r.actual_share for r in report) == pytest.approx(1)
+
+
 def test_mix_of_odd_tables(spark):
     targets = spark.createDataFrame([("wiki", 1.0, 2)], "source string, target_share double, max_repeats int")
     mix = mix_sources(corpus(spark, {}).limit(0), targets)
