@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,6 +237,13 @@ def _incoming(spark, folder) -> DataFrame:
     return rows.select(*KEY, *STORED)
 
 
+def _others(spark, folder) -> DataFrame:
+    """The rows of all generations but the active one."""
+    active = active_generation(load(spark, folder, "index_generations"))
+    rows = load(spark, folder, "search_index")
+    return rows.where(~F.col("generation_id").eqNullSafe(active[0] if active else None)).select(*KEY, *STORED)
+
+
 _MERGE = f"""
 WITH cur AS (SELECT * FROM search_index WHERE generation_id = (SELECT id FROM index_generations WHERE status = 'active')
   QUALIFY row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY source_version DESC, indexed_at DESC) = 1),
@@ -253,14 +261,14 @@ inc AS (SELECT * REPLACE (coalesce(nullif({_fold('status')}, ''), 'active') AS s
   CASE WHEN i.entity_id IS NOT NULL AND (c.entity_id IS NULL OR c.source_version <= i.source_version) THEN epoch_us(coalesce(i.created_at, c.created_at, TIMESTAMPTZ '2026-01-01 00:00:00+00')) ELSE epoch_us(c.created_at) END AS created_us
 FROM cur c FULL JOIN inc i ON c.entity_type = i.entity_type AND c.entity_id = i.entity_id""",
 )
-def versioned_upsert(spark, folder):
-    state, _ = writes.upsert(_current(spark, folder), _incoming(spark, folder), NOW)
+def versioned_upsert(spark, folder, incoming=_incoming):
+    state, _ = writes.upsert(_current(spark, folder), incoming(spark, folder), NOW)
     return state.select(*KEY, "source_version", "status", F.unix_micros("created_at").alias("created_us"))
 
 
 @add("rejected_writes", _MERGE + "SELECT i.entity_type, i.entity_id, c.entity_id IS NULL OR c.source_version <= i.source_version AS applied FROM inc i LEFT JOIN cur c ON c.entity_type = i.entity_type AND c.entity_id = i.entity_id")
-def rejected_writes(spark, folder):
-    return writes.upsert(_current(spark, folder), _incoming(spark, folder), NOW)[1]
+def rejected_writes(spark, folder, incoming=_incoming):
+    return writes.upsert(_current(spark, folder), incoming(spark, folder), NOW)[1]
 
 
 @add(
@@ -269,8 +277,13 @@ def rejected_writes(spark, folder):
     + """SELECT coalesce(i.entity_type, c.entity_type) AS entity_type, coalesce(i.entity_id, c.entity_id) AS entity_id, CASE WHEN c.entity_id IS NULL THEN 0 ELSE c.source_version END AS source_version
 FROM cur c FULL JOIN inc i ON c.entity_type = i.entity_type AND c.entity_id = i.entity_id""",
 )
-def unversioned_upsert(spark, folder):
-    return writes.upsert(_current(spark, folder), _incoming(spark, folder), NOW, versioned=False)[0].select(*KEY, "source_version")
+def unversioned_upsert(spark, folder, incoming=_incoming):
+    return writes.upsert(_current(spark, folder), incoming(spark, folder), NOW, versioned=False)[0].select(*KEY, "source_version")
+
+
+# the same with every row outside the active generation as incoming
+for _q in (versioned_upsert, rejected_writes, unversioned_upsert):
+    add(f"{_q.__name__}_all", SQL[_q.__name__].replace("generation_id IN (5, 8)", "generation_id IS DISTINCT FROM (SELECT id FROM index_generations WHERE status = 'active')"))(partial(_q, incoming=_others))
 
 
 @add(

@@ -182,3 +182,11 @@ def test_outbox_range_follows_the_generations(spark, tmp_path):
     assert ids((1, "retired", 9), (2, "active", 3), (3, "building", 8)) == ["e4", "e5", "e8"]
     assert ids((2, "active", 4), (3, "failed", 5)) == ["e5", "e8", "e9"]
     assert ids((3, "failed", 5)) == ["e3", "e4", "e5", "e8", "e9"]
+
+
+def test_upserts_take_all_other_generations(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/search_index.parquet").where("generation_id IN (4, 6)")
+    rows.withColumn("generation_id", F.when(F.col("generation_id") == 6, 21).otherwise(40 + F.length("entity_id") % 2).cast("bigint")).write.parquet(f"{tmp_path}/search_index.parquet")
+    spark.createDataFrame([(21, "active", 1), (40, "retired", 0), (41, "building", 2)], "id bigint, status string, source_high_watermark bigint").write.parquet(f"{tmp_path}/index_generations.parquet")
+    want = rows.where("generation_id = 4").select("entity_type", "entity_id").distinct().count()
+    assert want > 0 and index.QUERIES["rejected_writes_all"](spark, str(tmp_path)).count() == want
