@@ -28,9 +28,12 @@ def apply_changes(
     time of the last look at the change). The rows of
     ``base`` and the actions in ``replaces`` are replacements, those in ``deletes`` remove (and set nothing), all others set only the fields
     they carry (a field is set where its expression is not null). A field's value is that of the greatest sequence that
-    sets it, and it counts only from the latest removal or replacement on. All of it is one GROUP BY of maxima over
-    structs: the maximum over all writers lies beyond the barrier exactly if any writer does, so no second pass and no join
-    is needed, copies of a hot entity fold before the shuffle, and the order of delivery and repeated rows do not matter.
+    sets it, and it counts only from the latest removal or replacement on. Existence is such a field, set by every write: an
+    entity exists if its last write lies at or beyond the barrier, and the version it ends with is that write's. All of it
+    is one GROUP BY of maxima over structs: the maximum over all writers lies beyond the barrier exactly if any writer does,
+    so no second pass and no join is needed, copies of a hot entity fold before the shuffle, and the order of delivery and
+    repeated rows do not matter. Fields that are always set together are better one struct-valued field: its sequence
+    travels once.
 
     base: key, status, source_version, indexed_at. changes: key, action, event_order, created_at, id, updated_at. Others are ignored
     unless a field names them. fields: output name -> (expression on base, expression on changes), of one type.
@@ -59,9 +62,10 @@ def apply_changes(
         values(1, there).alias("_f"),
     )
     rows = a.unionByName(b).where(F.length(F.col(key[-1])) > 0)
-    last = F.max(F.struct(F.col("_s").alias("s"), F.col("_there").alias("there"))).alias("_last")
+    written = F.max(F.when(F.col("_there"), F.col("_s"))).alias("_written")
     wall = F.max(F.when(F.col("_wall"), F.col("_s"))).alias("_wall")
     writes = [F.max(F.when(F.col(f"_f.{n}").isNotNull(), F.struct(F.col("_s").alias("s"), F.col(f"_f.{n}").alias("x")))).alias(f"_w_{n}") for n in fields]
-    state = rows.groupBy(*key).agg(last, wall, *writes).where("_last.there")
-    kept = [F.when(F.col("_wall").isNull() | (F.col(f"_w_{n}.s") >= F.col("_wall")), F.col(f"_w_{n}.x")).alias(n) for n in fields]
-    return state.select(*key, F.col("_last.s.v").alias("source_version"), *kept)
+    beyond = lambda s: F.col("_wall").isNull() | (s >= F.col("_wall"))
+    state = rows.groupBy(*key).agg(written, wall, *writes).where(F.col("_written").isNotNull() & beyond(F.col("_written")))
+    kept = [F.when(beyond(F.col(f"_w_{n}.s")), F.col(f"_w_{n}.x")).alias(n) for n in fields]
+    return state.select(*key, F.col("_written.v").alias("source_version"), *kept)

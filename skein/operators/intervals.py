@@ -7,30 +7,30 @@ kind joins intervals that touch across buckets; the canonical form is cut only a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 16
 
 
-def _bucket(x: Column) -> Column:
-    return F.shiftright(x, BITS)
-
-
 def _pieces(iv: DataFrame) -> DataFrame:
-    """The intervals cut at the buckets' edges: (b, lo, hi). Intervals of no number (lo > hi or null) vanish."""
-    b = F.explode(F.sequence(_bucket(F.col("lo")), _bucket(F.col("hi")))).alias("b")
-    cut = iv.where("lo <= hi").select(F.col("lo").cast("bigint"), F.col("hi").cast("bigint")).select("lo", "hi", b)
-    edge = F.shiftleft(F.col("b"), BITS)
-    return cut.select("b", F.greatest("lo", edge).alias("lo"), F.least("hi", edge + (1 << BITS) - 1).alias("hi"))
+    """The intervals cut at the buckets' edges: (b, lo, hi). Intervals of no number (lo > hi or null) vanish.
+
+    Cut in three steps (2**48, 2**32, 2**16), so that no array has more than 65,536 elements however long an interval is.
+    """
+    cut = iv.where("lo <= hi").selectExpr("CAST(lo AS BIGINT) AS lo", "CAST(hi AS BIGINT) AS hi")
+    for bits in (3 * BITS, 2 * BITS, BITS):
+        edge = f"shiftleft(b, {bits})"
+        cut = cut.selectExpr("lo", "hi", f"explode(sequence(shiftright(lo, {bits}), shiftright(hi, {bits}))) AS b").selectExpr("b", f"greatest(lo, {edge}) AS lo", f"least(hi, {edge} + {(1 << bits) - 1}) AS hi")
+    return cut
 
 
 def _islands(pieces: DataFrame, by: str) -> DataFrame:
     """Within each ``by``: overlapping or touching pieces joined."""
-    w = Window.partitionBy(by).orderBy("lo", "hi")
-    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = pieces.withColumn("_new", F.when(before.isNull() | (F.col("lo") > before + 1), 1).otherwise(0))
-    return starts.withColumn("_n", F.sum("_new").over(w)).groupBy(by, "_n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    w = f"PARTITION BY {by} ORDER BY lo, hi"
+    told = pieces.selectExpr(by, "lo", "hi", f"max(hi) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before")
+    starts = told.selectExpr(by, "lo", "hi", f"sum(IF(_before IS NULL OR lo > _before + 1, 1, 0)) OVER ({w}) AS _n")
+    return starts.groupBy(by, "_n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def merge_intervals(iv: DataFrame) -> DataFrame:
@@ -42,10 +42,21 @@ def merge_intervals(iv: DataFrame) -> DataFrame:
     return small.where(~at_edge).unionByName(across)
 
 
+def _units(points: DataFrame, seq: str) -> DataFrame:
+    """Each number as an interval of its own."""
+    p = points.selectExpr(f"CAST(`{seq}` AS BIGINT) AS lo").where("lo IS NOT NULL").distinct()
+    return p.selectExpr(f"shiftright(lo, {BITS}) AS b", "lo", "lo AS hi")
+
+
 def to_intervals(points: DataFrame, seq: str) -> DataFrame:
     """The numbers in column ``seq`` (nulls ignored) as disjoint intervals; neighbours n, n+1 share one."""
-    p = points.where(F.col(seq).isNotNull()).select(F.col(seq).cast("bigint").alias("lo")).distinct()
-    return merge_intervals(p.select("lo", F.col("lo").alias("hi")))
+    return merge_intervals(_units(points, seq).select("lo", "hi"))
+
+
+def add_points(iv: DataFrame, points: DataFrame, seq: str) -> DataFrame:
+    """``iv`` and the numbers in column ``seq`` as disjoint intervals that are cut at multiples of 65,536: the form of a
+    stored state, which needs no second pass over the buckets' edges."""
+    return _islands(_pieces(iv).unionByName(_units(points, seq)), "b").select("lo", "hi")
 
 
 def subtract_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -59,8 +70,7 @@ def subtract_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def points_in(points: DataFrame, seq: str, iv: DataFrame) -> DataFrame:
     """The distinct numbers of column ``seq`` that lie in an interval of ``iv`` (disjoint): one column ``seq``."""
-    p = points.where(F.col(seq).isNotNull()).select(F.col(seq).cast("bigint").alias("at")).distinct()
-    both = p.select(_bucket(F.col("at")).alias("b"), "at", F.lit(None).cast("bigint").alias("hi")).unionByName(_pieces(iv).select("b", F.col("lo").alias("at"), "hi"))
-    w = Window.partitionBy("b").orderBy("at", F.col("hi").isNull())
-    seen = both.withColumn("_hi", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return seen.where(F.col("hi").isNull() & (F.col("at") <= F.col("_hi"))).select(F.col("at").alias(seq))
+    p = _units(points, seq).selectExpr("b", "lo AS at", "CAST(NULL AS BIGINT) AS hi")
+    both = p.unionByName(_pieces(iv).selectExpr("b", "lo AS at", "hi"))
+    seen = both.selectExpr("at", "hi", "last(hi, true) OVER (PARTITION BY b ORDER BY at, hi IS NULL ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _hi")
+    return seen.where("hi IS NULL AND at <= _hi").selectExpr(f"at AS `{seq}`")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 class ManifestLog:
-    """Entry n is one file that must not exist when it is created, so of two writers one fails; readers take the last."""
+    """Entry n is one file that must not exist when it gets its name, so of two writers one fails; readers take the last."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -44,9 +46,26 @@ class ManifestLog:
         return len(names), self._read(names[-1]) if names else None
 
     def append(self, n: int, entry: dict) -> None:
-        """Creates entry ``n``; raises if it is there already."""
-        stream = self._fs.create(self._path(f"{self.folder}/{n:012d}.json"), False)
+        """Creates entry ``n``; raises if it is there already.
+
+        The entry is written aside and then given its name in one step that does not overwrite (a hard link on a local
+        disk, the file system's rename elsewhere), so a writer that dies leaves no cut entry and of two writers one fails.
+        The folder must lie in a file system whose rename is atomic.
+        """
+        target, aside = (f"{self.folder}/{x}" for x in (f"{n:012d}.json", f"_{uuid.uuid4().hex}"))
+        stream = self._fs.create(self._path(aside), False)
         try:
             stream.write(bytearray(json.dumps(entry).encode()))
         finally:
             stream.close()
+        try:
+            if self._fs.getScheme() == "file":
+                local = lambda p: self._path(p).toUri().getPath()
+                os.link(local(aside), local(target))
+            else:
+                option = self._jvm.org.apache.hadoop.fs.Options.Rename
+                options = self.spark.sparkContext._gateway.new_array(option, 1)
+                options[0] = option.NONE
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(self._path(aside), self._path(target), options)
+        finally:
+            self._fs.delete(self._path(aside), False)
