@@ -54,44 +54,54 @@ class DecisionList:
         return "\n".join(f"{i + 1}. if " + " and ".join(map(str, r)) for i, r in enumerate(self.rules))
 
 
-def _cuts(v: np.ndarray, y: np.ndarray, most: int = 64) -> np.ndarray:
-    """Middles between neighbouring values of unlike label, at most so many."""
+def _best_cut(v: np.ndarray, p: np.ndarray, n: np.ndarray, base: float, upward: bool) -> tuple[float, float, bool]:
+    """(gain, cut, above) of the best threshold of one feature; every middle between neighbouring values is tried.
+    p, n: weights of the rows as positive and negative ones."""
     order = np.argsort(v, kind="stable")
-    v, y = v[order], y[order]
-    change = np.flatnonzero((v[1:] > v[:-1]) & ((y[1:] != y[:-1]) | (np.roll(y, 1)[1:] != y[1:])))
-    mids = np.unique((v[change] + v[change + 1]) / 2)
-    return mids if len(mids) <= most else mids[np.linspace(0, len(mids) - 1, most).astype(int)]
+    v, p, n = v[order], p[order], n[order]
+    at = np.flatnonzero(v[1:] > v[:-1])
+    if not len(at):
+        return 0.0, 0.0, True
+    below_p, below_n = np.cumsum(p)[at], np.cumsum(n)[at]
 
+    def gain(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        some = p > 1e-9
+        return np.where(some, p * (np.log2(np.where(some, p, 1) / np.where(some, p + np.maximum(n, 0), 1)) - base), -np.inf)
 
-def _grow(x: np.ndarray, y: np.ndarray, names: Sequence[str]) -> tuple[Condition, ...]:
+    up = gain(p.sum() - below_p, n.sum() - below_n)
+    down = np.full(len(at), -np.inf) if upward else gain(below_p, below_n)
+    k = int(np.argmax(np.maximum(up, down)))
+    return float(max(up[k], down[k])), float((v[at[k]] + v[at[k] + 1]) / 2), bool(up[k] >= down[k])
+
+
+def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, names: Sequence[str], upward: bool) -> tuple[Condition, ...]:
     """Adds the condition of the highest information gain until no negative row is left."""
     rule: tuple[Condition, ...] = ()
     live = np.ones(len(x), bool)
-    while (live & ~y).any() and len(rule) < 2 * len(names):
-        p, n = (live & y).sum(), (live & ~y).sum()
-        base, best, chosen = np.log2(p / (p + n)), 1e-9, None
-        for f in names:
-            v = x[:, names.index(f)]
-            for value in _cuts(v[live], y[live]):
-                for above in (True, False):
-                    c = Condition(f, above, float(value))
-                    hit = live & c.holds(x, names)
-                    a, b = (hit & y).sum(), (hit & ~y).sum()
-                    if a and (gain := a * (np.log2(a / (a + b)) - base)) > best:
-                        best, chosen = gain, c
-        if chosen is None:
+    while (live & ~y).any() and (live & y).any():
+        p, n = np.where(y, w, 0)[live], np.where(y, 0, w)[live]
+        if not p.sum():
+            break
+        base = np.log2(p.sum() / (p.sum() + n.sum()))
+        found = [(*_best_cut(x[live, i], p, n, base, upward), f) for i, f in enumerate(names)]
+        gain, cut, above, feature = max(found, key=lambda t: t[0])
+        if gain <= 1e-9:
             break
-        rule += (chosen,)
-        live &= chosen.holds(x, names)
+        rule += (Condition(feature, above, cut),)
+        live &= rule[-1].holds(x, names)
     return rule
 
 
-def _prune(rule: tuple[Condition, ...], x: np.ndarray, y: np.ndarray, names: Sequence[str]) -> tuple[Condition, ...]:
+def _hits(rule: tuple[Condition, ...], x: np.ndarray, names: Sequence[str]) -> np.ndarray:
+    return np.logical_and.reduce([c.holds(x, names) for c in rule])
+
+
+def _prune(rule: tuple[Condition, ...], x: np.ndarray, y: np.ndarray, w: np.ndarray, names: Sequence[str]) -> tuple[Condition, ...]:
     """Drops last conditions as long as (p - n) / (p + n) on held-out rows does not fall."""
 
     def worth(r: tuple[Condition, ...]) -> float:
-        hit = np.logical_and.reduce([c.holds(x, names) for c in r])
-        p, n = (hit & y).sum(), (hit & ~y).sum()
+        hit = _hits(r, x, names)
+        p, n = w[hit & y].sum(), w[hit & ~y].sum()
         return (p - n) / (p + n) if p + n else -1.0
 
     while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
@@ -99,27 +109,47 @@ def _prune(rule: tuple[Condition, ...], x: np.ndarray, y: np.ndarray, names: Seq
     return rule
 
 
-def learn(x: np.ndarray, y: np.ndarray, names: Sequence[str], *, seed: int = 1, most_rules: int = 8) -> DecisionList:
-    """Sequential covering with incremental reduced-error pruning (Fuernkranz and Widmer 1994).
-
-    Two thirds of the rows grow a rule, one third prunes it; its rows leave, and the next rule is grown, until no positive
-    row is left or a rule is wrong on most held-out rows it covers. Without positive rows the list is empty (always no).
+def _prune_list(rules: list[tuple[Condition, ...]], x: np.ndarray, y: np.ndarray, w: np.ndarray, names: Sequence[str]) -> list[tuple[Condition, ...]]:
+    """Drops whole rules, last ones first, and single conditions as long as the list makes no more errors on ``x``."""
+    errors = lambda rs: float(w[DecisionList(tuple(rs)).predict(x, names) != y].sum())
+    least, moved = errors(rules), True
+    while moved:
+        moved = False
+        shorter = [rules[:i] + rules[i + 1 :] for i in reversed(range(len(rules)))]
+        shorter += [[*rules[:i], r[:j] + r[j + 1 :], *rules[i + 1 :]] for i, r in enumerate(rules) for j in range(len(r)) if len(r) > 1]
+        for rs in shorter:
+            if (e := errors(rs)) <= least + 1e-9:
+                rules, least, moved = rs, e, True
+                break
+    return rules
+
+
+def learn(x: np.ndarray, y: np.ndarray, names: Sequence[str], *, weight: np.ndarray | None = None, seed: int = 1, upward: bool = False) -> DecisionList:
+    """Sequential covering with incremental reduced-error pruning (Fuernkranz and Widmer 1994), and pruning of the list.
+
+    One split for all rules: two thirds of the rows grow the rules, one third prunes them. A rule's rows leave and the next
+    is grown, until no positive row is left or a rule is wrong on most held-out rows it covers; each rule takes rows away, so
+    there are at most as many as positive rows. Last, rules and conditions without which the held-out rows are decided
+    as well are dropped from the whole list. ``upward``: only conditions of the kind feature >= cut, for features
+    of which more can never mean less. ``weight``: what a row counts (1). Without positive rows the list is empty (always no).
     """
     rng = np.random.default_rng(seed)
     names, y, rules = list(names), y.astype(bool), []
-    while y.any() and len(rules) < most_rules:
-        grow = rng.random(len(y)) < 2 / 3
-        if not (grow & y).any():
-            grow[:] = True
-        rule = _grow(x[grow], y[grow], names)
+    w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    grow = rng.random(len(y)) < 2 / 3
+    if not (grow & y).any():
+        grow[:] = True
+    held, live = ~grow if (~grow & y).any() else grow, np.ones(len(y), bool)
+    while (live & grow & y).any():
+        at = live & grow
+        rule = _grow(x[at], y[at], w[at], names, upward)
         if not rule:
             break
-        held = ~grow if (~grow & y).any() else grow
-        rule = _prune(rule, x[held], y[held], names)
-        hit = np.logical_and.reduce([c.holds(x, names) for c in rule])
-        p, n = (hit & y & held).sum(), (hit & ~y & held).sum()
-        if p <= n:
+        at = live & held
+        rule = _prune(rule, x[at], y[at], w[at], names)
+        hit = live & _hits(rule, x, names)
+        if w[hit & y & held].sum() <= w[hit & ~y & held].sum() or not (hit & y & grow).any():
             break
         rules.append(rule)
-        x, y = x[~hit], y[~hit]
-    return DecisionList(tuple(rules))
+        live &= ~hit
+    return DecisionList(tuple(_prune_list(rules, x[held], y[held], w[held], names)))

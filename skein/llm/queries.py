@@ -110,16 +110,22 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = repetitive_documents(load(spark, folder, "documents"))
-    return rows.where("repetitive AND share >= 0.4").select("doc_id")
+    """What the learned list calls repetitive; no other test follows."""
+    return repetitive_documents(load(spark, folder, "documents")).rows.where("repetitive").select("doc_id")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The features of every document and the verdict of the decision list."""
-    return repetitive_documents(load(spark, folder, "documents"))[0]
+    return repetitive_documents(load(spark, folder, "documents")).rows
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p4_found, p4_ranking, p5_found, p5_scores, p6_found, p6_frequencies, p7_found, p7_layout, p7_report, p8_found, p8_report, p8_rates, p9_found, p9_shares)}
+def p9_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The decision list, with its recall and precision on held-out examples by length."""
+    found = repetitive_documents(load(spark, folder, "documents"))
+    return found.report.withColumn("rules", F.lit(str(found.rules)))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p4_found, p4_ranking, p5_found, p5_scores, p6_found, p6_frequencies, p7_found, p7_layout, p7_report, p8_found, p8_report, p8_rates, p9_found, p9_shares, p9_rules)}
 
 _LISTED = f"""
 WITH g AS (SELECT id AS gid FROM index_generations WHERE status = 'active'),
@@ -173,6 +179,13 @@ SELECT entity_type, entity_id, term, n_holders, round(o, 6) AS log_odds, round(o
     "p6_frequencies": _POOLED
     + """size AS (SELECT count(*) AS n FROM listed), occ AS (SELECT term, count(*) AS n_occurrences FROM elements WHERE term <> '' GROUP BY term)
 SELECT term, n_holders AS n_records, n_occurrences, CASE WHEN n_holders * 5 >= n THEN 'common' WHEN n_holders <= 2 THEN 'rare' END AS mark FROM holders JOIN occ USING (term), size""",
+    # plain five-word runs that stood before, without changed words, sentences or lines: far from the line all agree
+    "p9_found": r"""
+WITH u AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{Han}|(?:[^\P{L}\p{Han}]|\p{M})+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w)::BIGINT - 3)) AS i FROM u)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, h) AS first FROM g) WHERE i > first),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY doc_id)
+SELECT doc_id FROM covered JOIN u USING (doc_id) WHERE n >= 0.4::DOUBLE * len(w)""",
     # with bytes for tokens: no source lies near the line, whatever the tokenizer
     "p8_found": """
 WITH d AS (SELECT regexp_replace(lower(trim(source, {BLANKS})), '[\\s_-]+', '-', 'g') AS key, strlen(text) AS size FROM documents),

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,6 +143,18 @@ def repetition_features(texts: Sequence[str | None]) -> dict[str, np.ndarray]:
     return out
 
 
+def chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges (lo, hi) of rows of at most CHUNK characters together; a longer text is a range of its own."""
+    lo = 0
+    while lo < len(sizes):
+        hi, chars = lo + 1, sizes[lo]
+        while hi < len(sizes) and chars + sizes[hi] <= CHUNK:
+            chars += sizes[hi]
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 def measure_repetition(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, units, FEATURES...) of every document, whole texts; see repetition_features.
 
@@ -155,15 +168,13 @@ def measure_repetition(documents: DataFrame, id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = np.nan_to_num(pa.compute.utf8_length(b.column(1)).to_numpy(zero_copy_only=False)).astype(np.int64)
-            lo = 0
-            while lo < b.num_rows:
-                hi, chars = lo + 1, sizes[lo]
-                while hi < b.num_rows and chars + sizes[hi] <= CHUNK:
-                    chars += sizes[hi]
-                    hi += 1
+            for lo, hi in chunks(lengths(b.column(1))):
                 f = repetition_features(b.column(1).slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(f["units"], pa.int64()), *[pa.array(f[x], pa.float64()) for x in FEATURES]], names=schema.names)
-                lo = hi
 
     return rows.mapInArrow(run, schema)
+
+
+def lengths(texts: pa.Array) -> np.ndarray:
+    """Characters of each text; 0 for null."""
+    return np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)

@@ -190,9 +190,22 @@ def story(rng, sentences):
 
 def test_held_out_accuracy_of_the_list():
     rng = random.Random(8)
-    x, y, _ = labelled_examples([story(rng, rng.randint(6, 25)) for _ in range(120)], seed=1)
-    x2, y2, _ = labelled_examples([story(rng, rng.randint(6, 25)) for _ in range(120)], seed=2)
-    assert (learn(x, y, FEATURES).predict(x2, list(FEATURES)) == y2).mean() > 0.97
+    x, y, share = labelled_examples([story(rng, rng.randint(6, 25)) for _ in range(120)], seed=1)
+    x2, y2, share2 = labelled_examples([story(rng, rng.randint(6, 25)) for _ in range(120)], seed=2)
+    assert np.abs(share - 0.4).min() >= 0.02 and (np.abs(share - 0.4) < 0.1).any()
+    said = learn(x, y, FEATURES, upward=True).predict(x2, list(FEATURES))
+    assert (said == y2).mean() > 0.95 and (said == y2)[np.abs(share2 - 0.4) > 0.15].all()
+
+
+def test_conditions_only_upward_and_no_cap_on_rules():
+    rng = np.random.default_rng(4)
+    x = rng.random((3000, 12))
+    y = (x > 0.97).any(axis=1)  # twelve rules are needed
+    names = [f"f{i}" for i in range(12)]
+    rules = learn(x, y, names, upward=True)
+    assert len(rules.rules) == 12 and all(c.above for r in rules.rules for c in r) and (rules.predict(x, names) == y).mean() > 0.99
+    heavy = np.where(x[:, 0] > 0.97, 0.0, 1.0)
+    assert all(c.feature != "f0" for r in learn(x, y, names, weight=heavy, upward=True).rules for c in r)
 
 
 def test_repetitive_documents(spark):
@@ -200,8 +213,14 @@ def test_repetitive_documents(spark):
     texts = [story(rng, rng.randint(5, 20)) for _ in range(60)]
     texts += [t + "\n" + t.lower() + "\n" + t for t in texts[:8]] + ["", None, "short", "7 7 7"]
     df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, share double")
-    rows, rules = repetitive_documents(df)
-    assert {r.doc_id for r in rows.collect() if r.repetitive and r.share >= 0.4} == set(range(60, 68)) and rules.rules
-    rows, rules = repetitive_documents(df.limit(0))
-    assert rows.count() == 0 and rules.rules == ()
+    found = repetitive_documents(df)
+    assert {r.doc_id for r in found.rows.collect() if r.repetitive} == set(range(60, 68)) and found.rules.rules
+    told = found.report.collect()
+    assert sum(r.examples for r in told) > 20 and all(r.found + r.wrong <= r.examples and (r.recall is None or r.recall > 0.9) for r in told)
+    few = repetitive_documents(df, sample=20)  # a sample of the documents, the verdict on all
+    assert few.rows.count() == df.count() and few.rules.rules
+    none = repetitive_documents(df.limit(0))
+    assert none.rows.count() == 0 and none.rules.rules == () and none.report.count() == 0
+    same = repetitive_documents(spark.createDataFrame([(None, texts[60])] * 30, "doc_id long, text string"), sample=5)
+    assert same.rows.count() == 30
     assert measure_repetition(spark.createDataFrame([(None, "a " * 200_000)], "doc_id long, text string")).first().share > 0.99
