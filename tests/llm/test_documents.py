@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.decision_list import DecisionList, learn
 from skein.llm.mixing import mix_sources, source_key
-from skein.llm.packing import best_fit_plan, pack
+from skein.llm.packing import _meeting_ranks, pack
 from skein.llm.repetition import FEATURES, measure_repetition, repetition_features
 from skein.llm.repetitive import labelled_examples, repetitive_documents
 from skein.llm.tokens import encoder, token_counts
@@ -26,17 +26,50 @@ def best_fit(sizes, capacity):
     return sorted(gaps)
 
 
-def test_plan_is_best_fit():
-    rng = random.Random(1)
-    for _ in range(200):
-        capacity, n = rng.choice([1, 5, 10, 37, 100]), rng.randrange(200)
-        sizes = sorted((rng.randint(1, capacity) for _ in range(n)), reverse=True)
-        runs, made = best_fit_plan(Counter(sizes), capacity)
-        places = [first + i // per for at, k, first, per in runs for i in range(k)]
-        load = Counter()
-        for s, c in zip(sizes, places, strict=True):
-            load[c] += s
-        assert len(load) == made and sorted(capacity - v for v in load.values()) == best_fit(sizes, capacity)
+def laid(out):
+    """Containers as lists of sizes; checks that none is too full and that they are numbered without holes."""
+    load = {}
+    for r in out:
+        if r.container is not None:
+            load.setdefault(r.container, []).append(r.size)
+    assert sorted(load) == list(range(len(load)))
+    return load
+
+
+@pytest.mark.parametrize("capacity", [1, 5, 37, 1000])
+def test_one_range_is_best_fit_by_class(spark, capacity):
+    rng = random.Random(capacity)
+    sizes = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(1, max(1, capacity // 9)) for _ in range(400)]
+    load = laid(pack(spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "id int, size int"), "id", "size", capacity).collect())
+    assert sorted(x for v in load.values() for x in v) == sorted(sizes) and max(map(sum, load.values())) <= capacity
+    assert sorted(capacity - sum(v) for v in load.values()) == best_fit(sizes, capacity)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4])
+def test_many_ranges_lose_little_room(spark, share):
+    rng = random.Random(5)
+    sizes = [13 if rng.random() < share else int(min(1000, rng.paretovariate(0.8) * 8)) for _ in range(3000)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "id int, size int").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        load = laid(pack(df, "id", "size", 1000, rows_per_task=100).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert sorted(x for v in load.values() for x in v) == sorted(sizes) and max(map(sum, load.values())) <= 1000
+    assert len(load) <= 1.02 * len(best_fit(sizes, 1000)) + 9
+
+
+def test_ranks_that_meet():
+    class Row:
+        def __init__(self, missed, slots):
+            self.missed, self.slots = missed, slots
+
+    items, places = _meeting_ranks({0: Row(5, 3), 1: Row(0, 2), 2: Row(4, 9), 3: Row(2, 0)})
+    meet = lambda rows: {r + shift: (p, r) for p, lo, hi, shift in rows for r in range(lo, hi)}
+    a, b = meet(items), meet(places)
+    assert a.keys() == b.keys() == set(range(6)) and all(a[m][0] > b[m][0] for m in a)
+    assert sorted(b.values()) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)] and len(set(a.values())) == 6
+    assert _meeting_ranks({0: Row(5, 0), 1: Row(0, 4)}) is None
 
 
 def test_pack_whole_tables(spark):
