@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from skein.operators.skew import running_total
 from skein.session import materialize
 
-#: Size classes; each spans a factor of two, the last one all that is smaller.
-CLASSES = 8
+#: Largest size of each class, as a part of the capacity.
+CLASSES = (1, 2, 4, 16, 64)
 _ITEM = ["id", "n", "whole", "rest"]
 
 
@@ -31,8 +31,8 @@ def pack(items: DataFrame, id: str, size: str, capacity: int, *, rows_per_task:
     sweep reaches its size. Items that find no gap in their range compete for the gaps left over in higher ranges: both have
     ranks, a driver-side pass over one count per range says which ranks meet, and a join by rank gives each its own
     place. The gaps are updated, and a second sweep over the items still left takes what has come free and opens containers
-    for the rest. Gaps stay in the state for the smaller classes. There are at most two sweeps per class, however many
-    items; a round of fewer than ``rows_per_task`` rows is one range, and then exactly sequential best fit.
+    for the rest. Gaps stay in the state for the smaller classes. There are at most two sweeps per class, and five classes,
+    however many items; a round of fewer than ``rows_per_task`` rows is one range, and then exactly sequential best fit.
 
     Containers are numbered from 0, those of rests and whole items first. Only counts per class and range reach the driver.
 
@@ -58,11 +58,11 @@ def pack(items: DataFrame, id: str, size: str, capacity: int, *, rows_per_task:
 def _fit(items: DataFrame, capacity: int, rows_per_task: int) -> tuple[DataFrame, int]:
     """(items with their container, number of containers)."""
     spark = items.sparkSession
-    tops = [capacity >> j for j in range(CLASSES) if capacity >> j]
+    tops = [capacity // c for c in CLASSES if capacity // c]
     bottoms = [*tops[1:], 0]
     level = lambda c: reduce(lambda rest, j: F.when(F.col(c) > bottoms[j], j).otherwise(rest), reversed(range(len(tops) - 1)), F.lit(len(tops) - 1))
-    sizes = {r.j: r.k for r in items.groupBy(level("rest").alias("j")).agg(F.count("*").alias("k")).collect()}  # at most CLASSES rows
-    gaps, held = spark.createDataFrame([], "container bigint, gap bigint"), np.zeros(len(tops), int)  # and how many gaps of each class
+    sizes = {r.j: r.k for r in items.groupBy(level("rest").alias("j")).agg(F.count("*").alias("k")).collect()}  # a row per class
+    gaps, held = spark.range(0).select(F.col("id").alias("container"), F.col("id").alias("gap")), np.zeros(len(tops), int)  # and how many of each class at most
     most, made = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
     placed: list[DataFrame] = []
     for j, (top, bottom) in enumerate(zip(tops, bottoms)):
@@ -72,8 +72,8 @@ def _fit(items: DataFrame, capacity: int, rows_per_task: int) -> tuple[DataFrame
             n_gaps = int(held[: j + 1].sum())
             ranges = max(1, min(most, -(-(k + n_gaps) // rows_per_task)))
             opening = last or ranges == 1 or not n_gaps
-            told = _sweep(left, gaps.where(F.col("gap") > bottom), capacity, top, ranges, opening)
-            by = {r.part: r for r in told.where("kind = 3").select("part", "opened", "missed", "slots").collect()}  # one row per range
+            told = _sweep(left, gaps.where(F.col("gap") > bottom), capacity, top, ranges, opening, bottoms)
+            by = {r.part: r for r in told.where("kind = 3").select("part", "opened", "missed", "slots", "held").collect()}  # one row per range
             first = [made + sum(by[q].opened for q in by if q < p) for p in range(ranges)]
             number = F.col("container") + F.when(F.col("local"), F.element_at(F.array(*[F.lit(x).cast("bigint") for x in first]), F.col("part") + 1)).otherwise(0)
             told = told.withColumn("container", number)
@@ -87,13 +87,13 @@ def _fit(items: DataFrame, capacity: int, rows_per_task: int) -> tuple[DataFrame
                 swept = swept.join(used, "container", "left").select("container", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
                 missed, k = missed.join(met.select("row"), "row", "left_anti").select(*_ITEM, "row"), k - sum(z - a for _, a, z, _ in ranks[0])
             gaps, left, last = swept.unionByName(gaps.where(F.col("gap") <= bottom)), missed, True
-            counts = {r.j: r.k for r in gaps.where("gap > 0").groupBy(level("gap").alias("j")).agg(F.count("*").alias("k")).collect()}  # at most CLASSES rows
-            held = np.array([counts.get(i, 0) for i in range(len(tops))])
+            held[: j + 1] = 0
+            held = reduce(np.add, [r.held for r in by.values()], held)
     empty = items.limit(0).select(*_ITEM, F.lit(0).cast("bigint").alias("container"))
     return reduce(DataFrame.unionByName, placed, empty), made
 
 
-def _sweep(items: DataFrame, gaps: DataFrame, capacity: int, top: int, ranges: int, opening: bool) -> DataFrame:
+def _sweep(items: DataFrame, gaps: DataFrame, capacity: int, top: int, ranges: int, opening: bool, bottoms: list[int]) -> DataFrame:
     """One sweep over all ranges, written: kind 0 items with their container, 1 items without, by rank; 2 the gaps as they are
     then, with the rank of their first place for items of lower ranges; 3 the counts of a range. ``local``: the container was
     opened in this range and is numbered within it."""
@@ -103,12 +103,12 @@ def _sweep(items: DataFrame, gaps: DataFrame, capacity: int, top: int, ranges: i
     # gaps before items of their size, and of the gaps that take any item the smallest last
     order = [F.desc("key"), F.expr("gap IS NULL"), F.desc("gap"), F.asc("row")]
     ranged = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    extra = T.StructType.fromDDL("part int, kind int, container bigint, local boolean, gap bigint, rank bigint, opened bigint, missed bigint, slots bigint")
+    extra = T.StructType.fromDDL("part int, kind int, container bigint, local boolean, gap bigint, rank bigint, opened bigint, missed bigint, slots bigint, held array<bigint>")
     schema = T.StructType([*[ranged.schema[c] for c in (*_ITEM, "row")], *extra.fields])
-    return materialize(ranged.mapInArrow(_sweeper(capacity, opening), schema), "sweep")
+    return materialize(ranged.mapInArrow(_sweeper(capacity, opening, bottoms), schema), "sweep")
 
 
-def _sweeper(capacity: int, opening: bool):
+def _sweeper(capacity: int, opening: bool, bottoms: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -129,7 +129,7 @@ def _sweeper(capacity: int, opening: bool):
         for b in batches:
             if schema is None:
                 own = [b.schema.field(c) for c in (*_ITEM, "row")]
-                schema = pa.schema([*own, pa.field("part", pa.int32()), pa.field("kind", pa.int32()), pa.field("container", pa.int64()), pa.field("local", pa.bool_()), *[pa.field(c, pa.int64()) for c in ("gap", "rank", "opened", "missed", "slots")]])
+                schema = pa.schema([*own, pa.field("part", pa.int32()), pa.field("kind", pa.int32()), pa.field("container", pa.int64()), pa.field("local", pa.bool_()), *[pa.field(c, pa.int64()) for c in ("gap", "rank", "opened", "missed", "slots")], pa.field("held", pa.list_(pa.int64()))])
             at, container, local, out, rank = [], [], [], [], []
             for i, (row, key, gap) in enumerate(zip(b.column("row").to_pylist(), b.column("key").to_pylist(), b.column("gap").to_pylist())):
                 come_up(key)
@@ -165,7 +165,8 @@ def _sweeper(capacity: int, opening: bool):
         for lo in range(0, len(gaps), 65_536):
             g, c, own = zip(*gaps[lo : lo + 65_536])
             yield rows(len(g), 2, gap=list(g), container=list(c), local=list(own), rank=ranks[lo : lo + 65_536].tolist(), slots=fits[lo : lo + 65_536].tolist())
-        yield rows(1, 3, opened=[opened], missed=[missed], slots=[int(fits.sum())])
+        above = [sum(g > x for g, _, _ in gaps) for x in bottoms]
+        yield rows(1, 3, opened=[opened], missed=[missed], slots=[int(fits.sum())], held=[np.diff(above, prepend=0).tolist()])
 
     return run
 
