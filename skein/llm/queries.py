@@ -111,6 +111,17 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(load(spark, folder, "documents"), load(spark, folder, "mix_targets")).rates
 
 
+def p8_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """The classifier of domains on held-out documents."""
+    return mix_sources(load(spark, folder, "documents"), load(spark, folder, "mix_targets")).accuracy
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Own documents of each wanted source, and whether it stays short."""
+    report = mix_sources(load(spark, folder, "documents"), load(spark, folder, "mix_targets")).report
+    return report.select("source", "n_documents", "max_repeats", "short")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """What the learned list calls repetitive; no other test follows."""
     return repetitive_documents(load(spark, folder, "documents")).rows.where("repetitive").select("doc_id")
@@ -127,7 +138,7 @@ def p9_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.report.withColumn("rules", F.lit(str(found.rules)))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p4_found, p4_ranking, p5_found, p5_scores, p6_found, p6_frequencies, p7_found, p7_layout, p7_report, p8_found, p8_report, p8_rates, p9_found, p9_shares, p9_rules)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p4_found, p4_ranking, p5_found, p5_scores, p6_found, p6_frequencies, p7_found, p7_layout, p7_report, p8_found, p8_report, p8_rates, p8_accuracy, p8_documents, p9_found, p9_shares, p9_rules)}
 
 _LISTED = f"""
 WITH g AS (SELECT id AS gid FROM index_generations WHERE status = 'active'),
@@ -148,6 +159,11 @@ full_pairs AS (SELECT item_a, item_b, n_ab, x.n_holders AS n_a, y.n_holders AS n
 """
 )
 _POOLED = _held("tags || keywords")
+_SIZES = """
+WITH d AS (SELECT regexp_replace(lower(trim(source, {BLANKS})), '[\\s_-]+', '-', 'g') AS key, strlen(text) AS size FROM documents),
+s AS (SELECT source, target_share, max_repeats, regexp_replace(lower(trim(source, {BLANKS})), '[\\s_-]+', '-', 'g') AS key FROM mix_targets),
+z AS (SELECT s.source, s.target_share, s.max_repeats, coalesce(sum(d.size), 0) AS size, count(d.key) AS n_documents FROM s LEFT JOIN d USING (key) GROUP BY ALL)
+""".replace("{BLANKS}", BLANKS)
 
 SQL = {
     "p1_found": _PAIRS + "SELECT item_a AS tag_a, item_b AS tag_b FROM full_pairs WHERE n_ab >= 20 AND n_ab * n >= 4 * n_a * n_b",
@@ -189,9 +205,6 @@ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY doc_id)
 SELECT doc_id FROM covered JOIN u USING (doc_id) WHERE n >= 0.4::DOUBLE * len(w)""",
     # with bytes for tokens: no source lies near the line, whatever the tokenizer
-    "p8_found": """
-WITH d AS (SELECT regexp_replace(lower(trim(source, {BLANKS})), '[\\s_-]+', '-', 'g') AS key, strlen(text) AS size FROM documents),
-s AS (SELECT source, target_share, max_repeats, regexp_replace(lower(trim(source, {BLANKS})), '[\\s_-]+', '-', 'g') AS key FROM mix_targets),
-z AS (SELECT s.source, s.target_share, s.max_repeats, coalesce(sum(d.size), 0) AS size FROM s LEFT JOIN d USING (key) GROUP BY ALL)
-SELECT source FROM z WHERE size * max_repeats < target_share * (SELECT sum(size) FROM z)""".replace("{BLANKS}", BLANKS),
+    "p8_found": _SIZES + "SELECT source FROM z WHERE size * max_repeats < target_share * (SELECT sum(size) FROM z)",
+    "p8_documents": _SIZES + "SELECT source, n_documents, max_repeats, size * max_repeats < target_share * (SELECT sum(size) FROM z) AS short FROM z",
 }

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein.llm import mixing
 from skein.llm.decision_list import DecisionList, learn
 from skein.llm.mixing import mix_sources, source_key
 from skein.llm.packing import _meeting_ranks, pack
@@ -149,6 +150,22 @@ def test_mix_reports_soft_members(spark):
     assert sum(r.actual_share for r in report) == pytest.approx(1)
 
 
+def test_short_sources_come_from_the_fitted_rates(spark, monkeypatch):
+    docs = corpus(spark, {"wiki": 60, "guide": 5})
+    targets = spark.createDataFrame([("wiki", 0.5, 2), ("guide", 0.5, 3)], "source string, target_share double, max_repeats int")
+    short = lambda: [r.source for r in mix_sources(docs, targets).report.collect() if r.short]
+    assert short() == ["guide"]
+    monkeypatch.setattr(mixing, "_step", lambda rate, *_: rate)  # without the descent no rate reaches its cap
+    assert short() == []
+
+
+def test_classifier_on_held_out_documents_of_a_rare_source(spark):
+    mix = mix_sources(corpus(spark, {"wiki": 900, "chat-log": 60, None: 9}), spark.createDataFrame([("wiki", 0.5, 1), ("chat-log", 0.5, 2), ("faq", 0.0, 1)], "source string, target_share double, max_repeats int"), sample=180)
+    told = {r.source: r for r in mix.accuracy.collect()}
+    assert 5 < told["chat-log"].held_out <= 30 and told["wiki"].held_out < 40  # each source up to an equal part
+    assert all(told[s].right == told[s].held_out and told[s].confidence > 0.8 for s in ("wiki", "chat-log")) and told["faq"].held_out == 0
+
+
 def test_mix_of_odd_tables(spark):
     targets = spark.createDataFrame([("wiki", 1.0, 2)], "source string, target_share double, max_repeats int")
     mix = mix_sources(corpus(spark, {}).limit(0), targets)
