@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.session import materialize
 
-#: Longest key, in bytes, that may travel in the broadcast part.
+#: Longest key, in bytes, that travels in the broadcast part as it is.
 KEY_BYTES = 1024
 
 
@@ -19,16 +20,26 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str, freq: str, hot_rows:
     """Inner join of many ``rows`` with a ``table`` of unique keys whose column ``freq`` counts the rows of a key.
 
     Keys that hold more than a ``hot_rows``-th of all rows meet their rows by broadcast: there are fewer than ``hot_rows``
-    of them, since frequencies add up to the number of rows, and each is at most KEY_BYTES long, so the broadcast is
-    bounded whatever the data. All other keys are joined by shuffle, where none of them is hot. No row is lost or capped.
-    ``table`` should be materialized: its total is read first. Null keys do not join. An empty table gives no rows.
+    of them, since frequencies add up to the number of rows. Keys of more than KEY_BYTES are broadcast as SHA-256 digests,
+    so each is at most that long and the broadcast is bounded whatever the data. All other keys are joined by shuffle,
+    where none of them is hot. No row is lost or capped. ``table`` should be materialized: its total is read first. Null keys
+    do not join. An empty table gives no rows.
     """
-    total = table.agg(F.sum(freq)).first()[0] or 0
-    hot = (F.col(freq) > total / hot_rows) & (F.octet_length(F.col(on).cast("string")) <= KEY_BYTES)
-    near = F.broadcast(table.where(hot))
-    by_broadcast = rows.join(near, on)
-    by_shuffle = rows.join(F.broadcast(table.where(hot).select(on)), on, "left_anti").join(table.where(~hot), on)
-    return by_broadcast.unionByName(by_shuffle)
+    text = lambda df: df[on].cast("string")
+    long = F.octet_length(text(table)) > KEY_BYTES
+    total, longest = table.agg(F.sum(freq), F.max(F.when(long, F.col(freq)))).first()
+    total = total or 0
+    hot = F.col(freq) > total / hot_rows
+    near = table.where(hot & ~long)
+    parts = [rows.join(F.broadcast(near), on)]
+    rest = rows.join(F.broadcast(near.select(on)), on, "left_anti")
+    if longest is not None and longest > total / hot_rows:
+        digests = table.where(hot & long).select(F.sha2(text(table), 256).alias("_digest"), *[c for c in table.columns if c != on])
+        is_long = F.octet_length(text(rows)) > KEY_BYTES
+        parts.append(rows.where(is_long).join(F.broadcast(digests), F.sha2(text(rows), 256) == F.col("_digest")).drop("_digest"))
+        rest = rest.join(F.broadcast(digests.select("_digest")), F.when(F.octet_length(text(rest)) > KEY_BYTES, F.sha2(text(rest), 256)) == F.col("_digest"), "left_anti")
+    parts.append(rest.join(table.where(~hot), on))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str, label: str = "ranges") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from skein.plans.request import Clause, Filters, Range, Request, checked
 from skein.plans.textquery import parse
 from skein.queries.feed import BLANKS
 from skein.queries.registry import Registry
-from skein.session import load, scratch_root
+from skein.session import load, scratch
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 CONFIG = Config(synonyms={"tech": ["redwire", "solar gate"], "magic": ["魔法"], "quest": ["adventure"]})
@@ -124,7 +123,7 @@ _request(
 @add("postings_match", _KEYS + _TECH.format(t="tok") + " AND list_has_any(tok, ['quest', 'adventure'])")
 def postings_match(spark, folder):
     v = view(spark, folder)
-    postings.save_postings(v, path := f"{scratch_root(spark)}/skein/postings-{uuid.uuid4().hex}")
+    postings.save_postings(v, path := scratch(spark, "postings"))
     found = postings.matched_by_postings(v, spark.read.parquet(path), parse("tech quest", CONFIG.synonyms).groups)
     return found.where(~F.col("status").isin("hidden", "deleted")).select(*KEY)
 
