@@ -52,6 +52,19 @@ def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.withColumn("fused", F.round("fused", 9))
 
 
+def p4_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """The centred mean ranks that are fused."""
+    return p4_ranking(spark, folder).drop("fused")
+
+
+def p4_loadings(spark: SparkSession, folder: str) -> DataFrame:
+    """(score, loading, turned, explained): what each score weighs, whether its sign had to be turned, and the share of the
+    variance that the first component has."""
+    _, told = fused_scores(_resources(spark, folder), SIGNALS, ["author_id", *ENTITY])
+    explained = told.eigenvalues[0] / sum(told.eigenvalues) if told.eigenvalues else None
+    return spark.createDataFrame([(s, w, s in told.turned, explained) for s, w in told.items()], "score string, loading double, turned boolean, explained double")
+
+
 def _distinctive(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive_terms(listed_terms(spark, folder, "tags", "keywords"), ENTITY)
 
@@ -138,7 +151,7 @@ def p9_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.report.withColumn("rules", F.lit(str(found.rules)))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p4_found, p4_ranking, p5_found, p5_scores, p6_found, p6_frequencies, p7_found, p7_layout, p7_report, p8_found, p8_report, p8_rates, p8_accuracy, p8_documents, p9_found, p9_shares, p9_rules)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p4_found, p4_ranking, p4_ranks, p4_loadings, p5_found, p5_scores, p6_found, p6_frequencies, p7_found, p7_layout, p7_report, p8_found, p8_report, p8_rates, p8_accuracy, p8_documents, p9_found, p9_shares, p9_rules)}
 
 _LISTED = f"""
 WITH g AS (SELECT id AS gid FROM index_generations WHERE status = 'active'),
@@ -182,6 +195,10 @@ FROM full_pairs""",
 FROM listed WHERE entity_type = 'resource' AND author_id IS NOT NULL)
 SELECT author_id, entity_type, entity_id FROM r WHERE n >= 12
 QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY s DESC, entity_id) = 1""",
+    "p4_ranks": _LISTED
+    + "r AS (SELECT author_id, entity_type, entity_id, view_count, like_count, download_count, updated_at, count(*) OVER () AS n FROM listed WHERE entity_type = 'resource') SELECT author_id, entity_type, entity_id, "
+    + ", ".join(f"rank() OVER (ORDER BY {s} NULLS FIRST) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0::DOUBLE - (n + 1) / 2.0::DOUBLE AS r_{s}" for s in SIGNALS)
+    + " FROM r",
     "p5_found": _POOLED
     + """good AS (SELECT * FROM held JOIN holders USING (term) WHERE n_holders >= 3),
 least AS (SELECT entity_type, entity_id, min(n_holders) AS m FROM good GROUP BY ALL HAVING min(n_holders) <= 9)

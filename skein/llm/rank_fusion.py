@@ -12,7 +12,15 @@ from skein.operators.skew import lookup_join, running_total
 from skein.session import materialize
 
 
-def fused_scores(rows: DataFrame, scores: Mapping[str, int], keep: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+class Loadings(dict):
+    """Loading of each score by name; ``turned``: the scores whose loading had the other sign before it took that of the
+    declared direction; ``eigenvalues``: those of the correlation matrix, the greatest first."""
+
+    turned: tuple[str, ...] = ()
+    eigenvalues: tuple[float, ...] = ()
+
+
+def fused_scores(rows: DataFrame, scores: Mapping[str, int], keep: Sequence[str]) -> tuple[DataFrame, Loadings]:
     """(keep..., r_<score>..., fused) per row of ``rows``, and the loading of each score.
 
     Method: first principal component of the rank-transformed scores. Each score is replaced by its rank among all rows
@@ -24,7 +32,10 @@ def fused_scores(rows: DataFrame, scores: Mapping[str, int], keep: Sequence[str]
     range-sorted and summed up, and go back to the rows by a join that broadcasts the few hot values and shuffles the rest.
 
     Defined cases: null and NaN are the worst of a score whatever its direction; a score that is the same everywhere has
-    loading 0; if no score varies all loadings are equal; repeated rows are separate rows; an empty table gives no rows.
+    loading 0; if no score varies all loadings are equal; a component whose scores point against each other is still oriented
+    score by score, and then no longer the direction of the greatest variance (Loadings.turned tells of which scores);
+    if the two greatest eigenvalues are close the loadings are not well determined, and equal if they are the same
+    (Loadings.eigenvalues); repeated rows are separate rows; an empty table gives no rows.
     """
     names = list(scores)
     # the worst becomes the lowest; a declared direction of -1 turns the score round
@@ -45,16 +56,24 @@ def fused_scores(rows: DataFrame, scores: Mapping[str, int], keep: Sequence[str]
     cov = np.zeros((len(names), len(names)))
     for (i, j), x in zip(pairs, sums):
         cov[i, j] = cov[j, i] = x or 0.0
+    told = Loadings()
     spread, weights = np.sqrt(np.diag(cov)), np.full(len(names), len(names) ** -0.5)
     if spread.max(initial=0) > 0:
         inv = np.divide(1, spread, out=np.zeros_like(spread), where=spread > 0)
-        weights = np.abs(np.linalg.eigh(cov * np.outer(inv, inv))[1][:, -1]) * (spread > 0)
+        values, vectors = np.linalg.eigh(cov * np.outer(inv, inv))
+        first = vectors[:, -1] * (spread > 0)
+        if (spread > 0).sum() > 1 and values[-1] - values[-2] < 1e-9:
+            first = (spread > 0) / np.sqrt((spread > 0).sum())
+        first = first if first.sum() >= 0 else -first
+        weights = np.abs(first)
+        told.turned, told.eigenvalues = tuple(s for s, w in zip(names, first) if w < -1e-12), tuple(float(v) for v in values[::-1])
     else:
         inv = np.zeros(len(names))
     terms = [F.col(f"r_{s}") / unit * float(w * v) for s, w, v in zip(names, weights, inv)]
     fused = sum(terms[1:], terms[0]).alias("fused")
     out = base.select("_row", *keep).join(wide, "_row").select(*keep, *[f"r_{s}" for s in names], fused)
-    return out, {s: float(w) * scores[s] for s, w in zip(names, weights)}
+    told.update({s: float(w) * scores[s] for s, w in zip(names, weights)})
+    return out, told
 
 
 def first_per_group(ranked: DataFrame, group: str, key: Sequence[str], *, at_least: int) -> DataFrame:

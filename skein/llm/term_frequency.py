@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.session import materialize
@@ -36,7 +36,7 @@ def term_frequencies(
     partitions that turn out more than twice as large are split by the next bits, again and again. One task takes one
     partition after another and aggregates each in DuckDB under ``memory_mb``, which spills to the folder that Spark gives
     its workers for spilling. A term in a third of all records arrives as one row per batch, not per record.
-    The driver sees one number per partition.
+    No list of partitions reaches the driver: oversized ones are a small table.
 
     mark: "rare" if at most ``rare_at_most`` records hold the term, "common" if at least ``common_share`` of all records do
     (common wins), else null. n_records counts a record once, n_occurrences every element. Null arrays, null elements and
@@ -45,10 +45,10 @@ def term_frequencies(
     runs = materialize(records.select(F.col(elements).alias("e")).mapInArrow(_count_batch, "term string, n_records bigint, n_occurrences bigint").withColumn("h", F.xxhash64("term")), "runs")
     all_rows, n = runs.agg(F.count("term"), F.sum(F.when(F.col("term").isNull(), F.col("n_records")))).first()
     runs = runs.where(F.col("term").isNotNull())
-    leaf = _leaves(runs, all_rows, part_rows)
+    placed = _leaves(runs, all_rows, part_rows)
     folder = max(1, -(-all_rows // part_rows))
     parts = max(folder, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = runs.select("term", "n_records", "n_occurrences", leaf.alias("leaf")).repartition(parts, "leaf").sortWithinPartitions("leaf")
+    placed = placed.select("term", "n_records", "n_occurrences", "leaf").repartition(parts, "leaf").sortWithinPartitions("leaf")
     counted = placed.mapInArrow(_aggregate(memory_mb), "term string, n_records bigint, n_occurrences bigint")
     # in whole numbers, so that a share of exactly a fifth counts
     least = F.lit(n or 0) * F.lit(round(common_share * 1_000_000)).cast("bigint")
@@ -56,22 +56,25 @@ def term_frequencies(
     return counted.withColumn("mark", mark)
 
 
-def _leaves(runs: DataFrame, rows: int, part_rows: int) -> Column:
-    """The partition of a row, as an expression on its hash."""
+def _leaves(runs: DataFrame, rows: int, part_rows: int) -> DataFrame:
+    """The runs with the partition that each lies in (``leaf``: a number of its own for every depth and prefix).
+
+    A level's oversized partitions are at most rows / (2 * part_rows): a broadcast table of one number each.
+    """
     bits = max(6, (max(1, rows // part_rows) * 4 - 1).bit_length())
     top = lambda b: F.shiftrightunsigned("h", 64 - b)
-    # a number of its own for every depth and prefix
-    leaf, inside = top(bits).cast("decimal(38,0)"), None
+    out, inside = runs.withColumn("leaf", top(bits).cast("decimal(38,0)")), F.lit(True)
     while bits + STEP <= MOST:
-        sizes = runs if inside is None else runs.where(inside)
+        sizes = out.where(inside).groupBy(top(bits).alias("_p")).agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("z"))
         # a partition that is one term alone cannot be split by its hash
-        large = [r.p for r in sizes.groupBy(top(bits).alias("p")).agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("z")).where((F.col("n") > 2 * part_rows) & (F.col("a") < F.col("z"))).collect()]
-        if not large:
+        large = materialize(sizes.where((F.col("n") > 2 * part_rows) & (F.col("a") < F.col("z"))).select("_p"), "large")
+        if large.isEmpty():
             break
-        inside = top(bits).isin(large)
         bits += STEP
-        leaf = F.when(inside, top(bits).cast("decimal(38,0)") + F.lit(str(1 << (64 + bits // STEP))).cast("decimal(38,0)")).otherwise(leaf)
-    return leaf
+        deeper = top(bits).cast("decimal(38,0)") + F.lit(str(1 << (64 + bits // STEP))).cast("decimal(38,0)")
+        out = out.join(F.broadcast(large), top(bits - STEP) == F.col("_p"), "left").withColumn("leaf", F.when(F.col("_p").isNotNull(), deeper).otherwise(F.col("leaf"))).drop("_p")
+        inside = F.col("leaf") >= F.lit(str(1 << (64 + bits // STEP))).cast("decimal(38,0)")
+    return out
 
 
 def _count_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +102,7 @@ def _aggregate(memory_mb: int):
         import duckdb
 
         # the folders that Spark hands its Python workers for spilling; they end with the application
-        root = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+        root = os.environ["SPARK_LOCAL_DIRS"].split(",")[0]
         scratch = tempfile.mkdtemp(prefix="radix-", dir=root)
         try:
             db = duckdb.connect(f"{scratch}/part.db", config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": f"{scratch}/spill", "preserve_insertion_order": False})

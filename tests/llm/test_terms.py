@@ -27,12 +27,12 @@ def zipf(n, seed=1, size=60):
 ODD = [None, [], [None], ["a", "a", None], ["é", "世界", ""], ["x" * 3000, "a"], ["only"]]
 
 
-@pytest.mark.parametrize("tile, least", [(1024, 1), (3, 1), (2, 3)])
-def test_pairs_against_brute_force(spark, tile, least):
+@pytest.mark.parametrize("tile, least, most", [(1024, 1, 10**9), (3, 1, 10**9), (2, 3, 10**9), (3, 1, 5)])
+def test_pairs_against_brute_force(spark, tile, least, most):
     rows = zipf(300) + ODD + [[f"long{i}" for i in range(40)]]
     sets = [set(x for x in r or [] if x is not None) for r in rows]
     held, both = Counter(x for s in sets for x in s), Counter(p for s in sets for p in itertools.combinations(sorted(s), 2))
-    got = {(r.item_a, r.item_b): r for r in item_pairs(lists(spark, rows), at_least=least, tile=tile).collect()}
+    got = {(r.item_a, r.item_b): r for r in item_pairs(lists(spark, rows), at_least=least, tile=tile, most_items=most).collect()}
     assert {k: r.n_ab for k, r in got.items()} == {k: n for k, n in both.items() if n >= least}
     for (a, b), r in got.items():
         assert (r.n_a, r.n_b, r.n) == (held[a], held[b], len(rows)) and a < b
