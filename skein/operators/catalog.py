@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions.terms import folded
 from skein.operators.documents import build_documents
 from skein.operators.metrics import validate_generation
 from skein.operators.tags import tag_index
@@ -20,7 +21,7 @@ from skein.operators.view import searchable
 from skein.operators.writes import tombstone, upsert
 from skein.session import materialize
 from skein.sources.manifests import ManifestLog
-from skein.sources.outbox import high_mark, latest_per_entity, not_given_up
+from skein.sources.outbox import by_key, high_mark, latest_per_entity, not_given_up
 
 #: Which status may follow which.
 NEXT = {"building": ("active", "failed"), "active": ("retired",), "retired": ("active",), "failed": ()}
@@ -138,7 +139,7 @@ class Catalog:
     def apply(self, g: dict, events: DataFrame, source: DataFrame) -> tuple[dict, DataFrame]:
         """(the generation with the events applied, report). Only touched buckets are read and written, and only tags
         that a changed row had or has are counted anew."""
-        keys = events.select(F.btrim("entity_type").alias("entity_type"), F.btrim("entity_id").alias("entity_id")).distinct()
+        keys = by_key(events.select("entity_type", "entity_id")).distinct()
         touched = [str(r.b) for r in keys.select(bucket_of(g["buckets"]).alias("b")).distinct().collect()]  # at most all buckets
         before = self.read(g, touched)
         state, report = apply_events(before, events, source, self.clock())
@@ -213,7 +214,7 @@ def index_rows(documents: DataFrame, at: datetime, versions: DataFrame | None =
     now = F.lit(at).cast("timestamp")
     rows = rows.withColumns({"source_version": version, "indexed_at": now, "created_at": F.coalesce("created_at", now), "updated_at": F.coalesce("updated_at", now)})
     kept = [c for c in rows.columns if c not in ("doc_id", "version", "index_text")]
-    return searchable(rows.select(*kept, "index_text"), F.col("index_text")).drop("index_text").withColumn("payload_text", F.col("payload_text"))
+    return searchable(rows.select(*kept, "index_text"), F.col("index_text")).drop("index_text")
 
 
 def apply_events(current: DataFrame, events: DataFrame, source: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +223,7 @@ def apply_events(current: DataFrame, events: DataFrame, source: DataFrame, at: d
     A delete, and a write whose source row is gone, leaves a tombstone; any other action writes the document as the
     source has it now, with the event's order as version. Only source rows with events are built (semi join).
     """
-    last = latest_per_entity(events.withColumns({"entity_type": F.btrim("entity_type"), "entity_id": F.btrim("entity_id")})).select("entity_type", "entity_id", "event_order", (F.lower(F.btrim("action")) == "delete").alias("gone"))
+    last = latest_per_entity(events.select("entity_type", "entity_id", "event_order", "created_at", "id", "action")).select("entity_type", "entity_id", "event_order", F.coalesce(folded("action") == "delete", F.lit(False)).alias("gone"))
     live = last.where(~F.col("gone"))
     docs = build_documents(source.join(live.select("entity_type", "entity_id"), ["entity_type", "entity_id"], "left_semi"))
     rows = materialize(index_rows(docs, at, live.select("entity_type", "entity_id", F.col("event_order").alias("version"))), "changed")
@@ -250,7 +251,7 @@ def rebuild(catalog: Catalog, source: Callable[[], DataFrame], events: Callable[
     event = ["id", "entity_type", "entity_id", "event_order"]
     try:
         seen = materialize(events().where(F.col("event_order") <= mark).select(*event).distinct(), "seen")
-        versions = seen.groupBy(F.btrim("entity_type").alias("entity_type"), F.btrim("entity_id").alias("entity_id")).agg(F.max("event_order").alias("version"))
+        versions = by_key(seen).groupBy("entity_type", "entity_id").agg(F.max("event_order").alias("version"))
         part = catalog._find(catalog.generations(), id) | catalog.save(index_rows(build_documents(source()), catalog.clock(), versions), id)
         check = validate_generation(catalog.read(part), part["documents"]).first()
         if not check.valid or check.rows != check.keys:

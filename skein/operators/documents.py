@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.terms import folded
+from skein.functions.terms import folded, trimmed
 from skein.functions.text import document_id, keyword_tokens, merged_strings, parse_strings
 
 
@@ -38,10 +38,10 @@ def build_documents(rows: DataFrame) -> DataFrame:
     )
     told = F.to_json(F.struct(F.coalesce("status", F.lit("")).alias("statusSource"), F.coalesce("visibility", F.lit("")).alias("visibility")))
     own = F.when(F.coalesce(F.btrim("payload"), F.lit("")).isin("", "{}"), F.lit("{")).otherwise(F.concat(F.regexp_replace(F.btrim("payload"), r"\}$", ""), F.lit(",")))
-    return rows.select(
+    return rows.withColumn("_told", told).select(
         document_id("entity_type", "entity_id").alias("doc_id"),
         "entity_type",
-        F.btrim("entity_id").alias("entity_id"),
+        trimmed("entity_id").alias("entity_id"),
         F.coalesce("title", F.lit("")).alias("title"),
         status.alias("status"),
         F.nullif("category_id", F.lit("")).alias("category_id"),
@@ -52,7 +52,7 @@ def build_documents(rows: DataFrame) -> DataFrame:
         "view_count",
         "like_count",
         "download_count",
-        F.concat(own, F.substring(told, 2, 10_000)).alias("payload"),
+        F.concat(own, F.expr("substring(_told, 2)")).alias("payload"),
         "created_at",
         "updated_at",
         F.when(post, F.coalesce("description", F.lit(""))).otherwise("").alias("index_text"),

@@ -27,10 +27,12 @@ def job_summary(log: DataFrame) -> DataFrame:
 
 
 def feed_lag(events: DataFrame, now: datetime) -> DataFrame:
-    """One row: seconds since the oldest event that is not processed, 0 if there is none or it lies ahead."""
-    oldest = F.min(F.when(F.col("processed_at").isNull(), F.unix_micros("created_at")))
+    """One row: seconds since the oldest event that is not processed, 0 if there is none or it lies ahead. One event is one
+    id: a row from before it was processed does not make it wait."""
+    each = events.groupBy("id").agg(F.max(F.col("processed_at").isNotNull()).alias("done"), F.min(F.unix_micros("created_at")).alias("since"))
+    oldest = F.min(F.when(~F.col("done"), F.col("since")))
     age = (F.unix_micros(F.lit(now).cast("timestamp")) - oldest) / 1_000_000
-    return events.agg(F.greatest(F.coalesce(age, F.lit(0.0)), F.lit(0.0)).alias("lag_seconds"))
+    return each.agg(F.greatest(F.coalesce(age, F.lit(0.0)), F.lit(0.0)).alias("lag_seconds"))
 
 
 def event_stats(events: DataFrame) -> DataFrame:

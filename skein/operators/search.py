@@ -103,7 +103,8 @@ def search(view: DataFrame, request: Request, *, generation: int, config: Config
 
     Plan: two scans with one boolean column (status, type, times and counters can be pushed down). One counts the total and
     all facets together; the other scores the matches and takes limit + 1 rows (TakeOrderedAndProject), which are all that
-    reaches the driver; the page is a local relation, so that snippets are made of its rows only. ``with_facets`` False:
+    reaches the driver; the page is a local relation, so that snippets are made of its rows only. It holds RESULT, scores and
+    snippets: neither tokens nor flattened texts of a row are returned. ``with_facets`` False:
     only the total is counted. Raises QueryError and CursorError.
     """
     r = checked(request)
@@ -122,6 +123,7 @@ def search(view: DataFrame, request: Request, *, generation: int, config: Config
     if r.highlight:
         more = [t for x in (*r.must, *r.should) for t in tokenize(x.value)]
         items = highlighted(items, list(dict.fromkeys([*q.expanded, *more])))
+    items = items.drop("payload_text", "sort_time")
     found = matched(view, r, q, config)
     if with_facets:
         counts = materialize(totals(found), "facets")

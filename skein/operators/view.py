@@ -16,7 +16,7 @@ STORED = ["title", "status", "category_id", "author_id", "tags", "keywords", "we
 
 def searchable(rows: DataFrame, index_text: Column | None = None) -> DataFrame:
     """Rows with normal status, tags and keywords and, per field, tokens in order: tok_a title, tok_b tags, tok_c keywords,
-    tok_d payload (and a private text that is searched but never shown).
+    tok_d payload (and a private text, that is searched through tok_d and is in no other column).
 
     A blank status is active. platform, version_keys and sort_time are derived here so that filters stay plain comparisons.
     Columns that a query does not use are pruned away with the work behind them; what would derive from a column that
@@ -30,13 +30,12 @@ def searchable(rows: DataFrame, index_text: Column | None = None) -> DataFrame:
     }
     cols = {c: f() for c, f in base.items() if c in have}
     if "payload" in have:
-        body = flatten_payload("payload")
-        cols["payload_text"] = F.substring(body, 1, 20_000) if index_text is None else F.concat_ws(" ", body, index_text)
+        cols["payload_text"] = flatten_payload("payload")
     derived = {
         "tok_a": (["title"], lambda: tokens("title")),
         "tok_b": (["tags"], lambda: tokens(F.array_join("tags", " "))),
         "tok_c": (["keywords"], lambda: tokens(F.array_join("keywords", " "))),
-        "tok_d": (["payload"], lambda: tokens("payload_text")),
+        "tok_d": (["payload"], lambda: tokens("payload_text") if index_text is None else tokens(F.concat_ws(" ", "payload_text", index_text))),
         "platform": (["payload"], lambda: F.lower(F.coalesce(F.get_json_object("payload", "$.platform"), F.lit("")))),
         "version_keys": (["payload"], lambda: version_keys("payload")),
         "sort_time": (["updated_at", "created_at", "indexed_at"], lambda: F.coalesce("updated_at", "created_at", "indexed_at")),

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.terms import folded
+from skein.functions.terms import folded, trimmed
 from skein.functions.text import document_id, sorted_strings
 
 KEY = ["entity_type", "entity_id"]
@@ -18,8 +18,8 @@ def prepared(docs: DataFrame) -> DataFrame:
     """Documents ready to be written: keys trimmed, a missing id taken from doc_id, a blank type is document, status
     folded (blank: active), lists sorted and distinct, blank category and author null. Rows without any id: error."""
     kind = folded("entity_type")
-    own = F.btrim(F.coalesce("entity_id", F.lit("")))
-    other = F.btrim(F.coalesce("doc_id", F.lit(""))) if "doc_id" in docs.columns else F.lit("")
+    own = F.coalesce(trimmed("entity_id"), F.lit(""))
+    other = F.coalesce(trimmed("doc_id"), F.lit("")) if "doc_id" in docs.columns else F.lit("")
     id = F.when(F.length(own) > 0, own).otherwise(other)
     return docs.withColumns(
         {
@@ -87,7 +87,7 @@ def tombstone(current: DataFrame, keys: DataFrame, at: datetime, *, versioned: b
     now = F.lit(at).cast("timestamp")
     version = F.coalesce("source_version", F.lit(0)).cast("bigint") if versioned else F.lit(0).cast("bigint")
     note = F.to_json(F.struct(F.coalesce("reason", F.lit("")).alias("reason")))
-    ready = latest_per_key(keys.select(F.btrim("entity_type").alias("entity_type"), F.btrim("entity_id").alias("entity_id"), version.alias("source_version"), note.alias("note")), KEY, ["source_version"])
+    ready = latest_per_key(keys.select(trimmed("entity_type").alias("entity_type"), trimmed("entity_id").alias("entity_id"), version.alias("source_version"), note.alias("note")), KEY, ["source_version"])
     empty = F.array().cast("array<string>")
     blank = {"title": F.lit(""), "tags": empty, "keywords": empty, "weight": F.lit(0), "view_count": F.lit(0), "like_count": F.lit(0), "download_count": F.lit(0)}
     fresh = F.col("c.entity_id").isNull()

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.functions.terms import folded, trimmed
 from skein.operators import metrics, writes
 from skein.operators.current import active_generation
+from skein.operators.catalog import index_rows
 from skein.operators.documents import build_documents, normal_status, weight
-from skein.operators.search import by_category_or_slug
+from skein.operators.search import RESULT, by_category_or_slug, ranked
 from skein.operators.view import STORED
+from skein.plans.request import Request, checked
 from skein.queries.feed import BLANKS
 from skein.queries.registry import Registry
-from skein.queries.search import KEY, NOW, VIEW, list_sql, view
+from skein.queries.search import CONFIG, KEY, NOW, VIEW, list_sql, tok_sql, view
 from skein.session import load
 from skein.sources import adapters, outbox
 from skein.sources.star import source_tables
@@ -83,6 +85,20 @@ _source(
     """SELECT 'document' AS entity_type, doc_id::VARCHAR AS entity_id, string_split(text, chr(10))[1] AS title, CASE WHEN source IS NOT NULL THEN 'published' ELSE 'draft' END AS status, CASE WHEN source IS NOT NULL THEN 'public' ELSE 'private' END AS visibility,
   coalesce(lower(source), '') AS category_id, '' AS author_id, '[]' AS tags_json, to_json([coalesce(nullif(lower(source), ''), 'document')])::VARCHAR AS extra_tags_json, '0' AS view_count, '0' AS like_count, '0' AS download_count FROM documents""",
 )
+_TITLE = "string_split(text, chr(10))[1] AS title"
+_source(
+    "source_server",
+    "server",
+    f"""SELECT 'server' AS entity_type, doc_id::VARCHAR AS entity_id, {_TITLE}, 'Published' AS status, 'public' AS visibility, coalesce(lower(lang), '') AS category_id, author_id, '[]' AS tags_json,
+  CASE WHEN lang IS NOT NULL THEN to_json([lower(lang)])::VARCHAR ELSE '[]' END AS extra_tags_json, n_chars::VARCHAR AS view_count, '0' AS like_count, '0' AS download_count
+FROM (SELECT * REPLACE (coalesce(n_chars, 0) AS n_chars) FROM documents) WHERE {_fold('source')} = 'server-page'""",
+)
+_source(
+    "source_video",
+    "video",
+    f"""SELECT 'video' AS entity_type, doc_id::VARCHAR AS entity_id, {_TITLE}, 'Published' AS status, CASE WHEN lang IS NULL THEN 'private' ELSE 'public' END AS visibility, lower(lang) AS category_id, author_id, lang AS tags_json,
+  '[]' AS extra_tags_json, n_chars::VARCHAR AS view_count, '0' AS like_count, '0' AS download_count FROM (SELECT * REPLACE (coalesce(n_chars, 0) AS n_chars) FROM documents) WHERE {_fold('source')} = 'video-notes'""".replace("lang AS tags_json", "coalesce(lang, '[]') AS tags_json"),
+)
 
 
 @add(
@@ -122,13 +138,38 @@ def built_resources(spark, folder):
     return d.select("doc_id", "status", F.col("weight").cast("bigint").alias("weight"), F.array_join("tags", ",").alias("tags"), F.array_join("keywords", ",").alias("keywords"))
 
 
+_KINDS = ("resource", "post", "user", "organization", "official_tag", "tag", "document", "server", "video")
+_NAMES = lambda x: f"CASE WHEN starts_with(trim({x}), '[') THEN CAST({x}::JSON AS VARCHAR[]) WHEN coalesce(trim({x}), '') = '' THEN [] ELSE string_split({x}, ',') END"
+
+
 @add(
     "entity_union_documents",
-    """SELECT 'resource' AS entity_type, count(*) AS n FROM part UNION ALL SELECT 'post', count(*) FROM orders UNION ALL SELECT 'user', count(*) FROM customer UNION ALL SELECT 'organization', count(*) FROM supplier
-UNION ALL SELECT 'official_tag', count(*) FROM nation UNION ALL SELECT 'tag', count(DISTINCT p_type) FROM part UNION ALL SELECT 'document', count(*) FROM documents""",
+    "WITH r AS ("
+    + " UNION ALL ".join(f"SELECT * FROM ({SQL[f'source_{k}']})" for k in _KINDS)
+    + f"""), n AS (SELECT *, CASE WHEN {_fold("status")} IN ('deleted', 'removed') THEN 'deleted' WHEN {_fold("visibility")} NOT IN ('', 'public') THEN 'hidden' WHEN {_fold("status")} IN ('approved', 'published', 'active') THEN 'active' ELSE 'hidden' END AS told FROM r)
+SELECT entity_type || ':' || entity_id AS doc_id, told AS status, CASE WHEN told = 'active' THEN view_count::BIGINT + 5 * like_count::BIGINT + 3 * download_count::BIGINT + (CASE WHEN entity_type = 'organization' THEN 2 ELSE 0 END) ELSE 0 END AS weight,
+  array_to_string(list_filter({list_sql(f"{_NAMES('tags_json')} || (CASE WHEN entity_type = 'resource' THEN {_NAMES('extra_tags_json')} ELSE [] END)")}, lambda t: length(t) <= 64), '|') AS tags FROM n""",
 )
 def entity_union_documents(spark, folder):
-    return build_documents(adapters.all_rows(source_tables(spark, folder))).groupBy("entity_type").agg(F.count("*").alias("n"))
+    """Every document of all nine kinds."""
+    d = build_documents(adapters.all_rows(source_tables(spark, folder)))
+    return d.select("doc_id", "status", F.col("weight").cast("bigint").alias("weight"), F.array_join("tags", "|").alias("tags"))
+
+
+@add(
+    "private_bodies",
+    f"SELECT 'post' AS entity_type, doc_id::VARCHAR AS entity_id, false AS told FROM documents WHERE list_contains({tok_sql('text')}, 'harbor')",
+)
+def private_bodies(spark, folder):
+    """All documents as bodies of posts: found by a word of the body, which stands in no column that a search returns."""
+    bodies = load(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("a post").alias("title"), F.lit("published").alias("status"), F.lit("public").alias("visibility"), F.lit("b").alias("boardId"), F.lit("u").alias("authorId"), F.lit("[]").alias("tags"), F.lit("[]").alias("topicTags"), F.col("text").alias("content"),
+        F.lit("none").alias("accessMode"), F.col("created_at").alias("publishedAt"), *[F.lit(0).alias(c) for c in ("views", "likeCount", "favoriteCount")], F.col("created_at").alias("createdAt"), F.col("created_at").alias("updatedAt"))
+    t = source_tables(spark, folder)
+    rows = index_rows(build_documents(adapters.post({"Post": bodies, "User": t["User"], "Board": t["Board"]})), NOW)
+    r = checked(Request(query="harbor"))
+    found, _ = ranked(rows, r, CONFIG, NOW)
+    shown = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in (*RESULT, "payload_text", "matched")]))
+    return found.select(*KEY, F.contains(shown, F.lit("harbor")).alias("told"))
 
 
 _INDEX = "SELECT generation_id, entity_type, entity_id, source_version,"
@@ -165,6 +206,32 @@ def parse_string_array(spark, folder):
     return rows.select("generation_id", *KEY, "source_version", F.array_join(text.parse_strings(F.to_json("tags")), "|").alias("parsed"))
 
 
+@add(
+    "parse_lenient_lists",
+    f"{_INDEX} array_to_string(list_transform(tags, lambda t: trim(t, ' ')), '|') AS objects, array_to_string(CASE WHEN trim(array_to_string(tags, ',')) = '' THEN [] ELSE list_transform(string_split(trim(array_to_string(tags, ','), ' '), ','), lambda t: trim(t, ' ')) END, '|') AS commas FROM search_index",
+)
+def parse_lenient_lists(spark, folder):
+    """Lists of objects, whose first name that is not blank counts, and lists with commas."""
+    objects = F.to_json(F.transform("tags", lambda t: F.struct(F.lit(" ").alias("name"), t.alias("tag"), F.lit("x").alias("slug"))))
+    named = F.transform(text.parse_strings(objects), lambda t: F.when(t == "x", "").otherwise(t))
+    commas = text.parse_strings(F.array_join("tags", ","))
+    return load(spark, folder, "search_index").select("generation_id", *KEY, "source_version", F.array_join(named, "|").alias("objects"), F.array_join(commas, "|").alias("commas"))
+
+
+@add("number_text", "SELECT o_orderkey, ' ' || (o_orderkey * 1000) || ' -' || (o_orderkey // 100) || '.' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || ' ' || o_orderkey || '.50' || ' 1e20001' AS numbers FROM orders")
+def number_text(spark, folder):
+    payload = F.format_string('{"a":%se3,"b":[-%se-2,%s.50],"c":{"d":1e20001,"e":null}}', *[F.col("o_orderkey").cast("string")] * 3)
+    return load(spark, folder, "orders").select("o_orderkey", text.flatten_payload(payload).alias("numbers"))
+
+
+@add("version_keys_second", VIEW + "SELECT entity_type, entity_id, len(version_keys)::INT AS n, coalesce(list_sum(version_keys), 0)::BIGINT AS s FROM v")
+def version_keys_second(spark, folder):
+    """Versions that stand under ``versions``, beside an mcVersions that is no array."""
+    moved = F.regexp_replace(F.regexp_replace("payload", '"mcVersions"', '"versions"'), r"^\{", '{"mcVersions":"1.2.3",')
+    keys = text.version_keys(F.regexp_replace(moved, ",}$", "}"))
+    return view(spark, folder, "payload").select(*KEY, F.size(keys).alias("n"), F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, k: a + k).alias("s"))
+
+
 @add("flatten_payload", VIEW + "SELECT entity_type, entity_id, payload_text FROM v")
 def flatten_payload(spark, folder):
     return view(spark, folder, "payload").select(*KEY, "payload_text")
@@ -181,15 +248,18 @@ def _events(spark, folder) -> DataFrame:
 _LOOK = "WITH look AS (SELECT * FROM search_index_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY processed_at IS NOT NULL DESC, updated_at DESC, attempts DESC, event_order DESC) = 1)"
 
 
+_EKEY = f"trim(entity_type, {BLANKS}) AS entity_type, trim(entity_id, {BLANKS}) AS entity_id"
+
+
 @add(
     "latest_event_per_key",
-    "SELECT entity_type, entity_id, max(event_order) AS event_order, arg_max(id, {'a': event_order, 'b': created_at, 'c': id}) AS id FROM search_index_events GROUP BY entity_type, entity_id",
+    f"SELECT {_EKEY}, max(event_order) AS event_order, arg_max(id, {{'a': event_order, 'b': created_at, 'c': id}}) AS id FROM search_index_events GROUP BY 1, 2",
 )
 def latest_event_per_key(spark, folder):
-    return outbox.latest_per_entity(_events(spark, folder)).select(*KEY, "event_order", "id")
+    return outbox.latest_per_entity(_events(spark, folder).select(*KEY, "event_order", "created_at", "id")).select(*KEY, "event_order", "id")
 
 
-@add("events_of_key", "SELECT entity_type, entity_id, count(DISTINCT id) AS n_events FROM search_index_events GROUP BY ALL")
+@add("events_of_key", f"SELECT DISTINCT {_EKEY}, id FROM search_index_events")
 def events_of_key(spark, folder):
     return outbox.events_per_entity(_events(spark, folder))
 
@@ -204,13 +274,13 @@ def claim_eligible(spark, folder):
     return outbox.claim(outbox.latest_look(_events(spark, folder)), datetime(2025, 12, 1, tzinfo=timezone.utc)).select("id", "event_order")
 
 
-@add("outbox_range", _LOOK + " SELECT id, event_order FROM look WHERE event_order > 1600057 AND event_order <= 1860017 AND NOT (coalesce(attempts, 0) >= 10 AND failed_at IS NOT NULL AND processed_at IS NULL)")
+@add("outbox_range", _LOOK + ", g AS (SELECT max(source_high_watermark) FILTER (status = 'active') AS lo, coalesce(max(source_high_watermark) FILTER (status = 'building'), (SELECT max(event_order) FROM search_index_events)) AS hi FROM index_generations) SELECT id, event_order FROM look, g WHERE event_order > lo AND event_order <= hi AND NOT (coalesce(attempts, 0) >= 10 AND failed_at IS NOT NULL AND processed_at IS NULL)")
 def outbox_range(spark, folder):
     bounds = outbox.catch_up_bounds(load(spark, folder, "index_generations"), _events(spark, folder))
     return outbox.outbox_range(outbox.latest_look(_events(spark, folder)), *bounds).select("id", "event_order")
 
 
-@add("source_versions", VIEW + "SELECT v.entity_type, v.entity_id, coalesce(max(event_order), 0) AS version FROM v LEFT JOIN search_index_events e ON v.entity_type = e.entity_type AND v.entity_id = e.entity_id GROUP BY ALL")
+@add("source_versions", VIEW + f"SELECT v.entity_type, v.entity_id, coalesce(max(event_order), 0) AS version FROM v LEFT JOIN (SELECT {_EKEY}, event_order FROM search_index_events) e ON v.entity_type = e.entity_type AND v.entity_id = e.entity_id GROUP BY ALL")
 def source_versions(spark, folder):
     return outbox.versions_of(view(spark, folder, "status").select(*KEY), _events(spark, folder)).select(*KEY, "version")
 
@@ -232,11 +302,6 @@ def _current(spark, folder) -> DataFrame:
     return writes.latest_per_key(rows.where(F.col("generation_id") == (active[0] if active else -1)).select(*KEY, *STORED), KEY, ["source_version", "indexed_at"])
 
 
-def _incoming(spark, folder) -> DataFrame:
-    rows = load(spark, folder, "search_index").where("generation_id IN (5, 8)")
-    return rows.select(*KEY, *STORED)
-
-
 def _others(spark, folder) -> DataFrame:
     """The rows of all generations but the active one."""
     active = active_generation(load(spark, folder, "index_generations"))
@@ -247,7 +312,7 @@ def _others(spark, folder) -> DataFrame:
 _MERGE = f"""
 WITH cur AS (SELECT * FROM search_index WHERE generation_id = (SELECT id FROM index_generations WHERE status = 'active')
   QUALIFY row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY source_version DESC, indexed_at DESC) = 1),
-inc AS (SELECT * REPLACE (coalesce(nullif({_fold('status')}, ''), 'active') AS status) FROM search_index WHERE generation_id IN (5, 8)
+inc AS (SELECT * REPLACE (coalesce(nullif({_fold('status')}, ''), 'active') AS status) FROM search_index WHERE generation_id IS DISTINCT FROM (SELECT id FROM index_generations WHERE status = 'active')
   QUALIFY row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY source_version DESC, updated_at DESC NULLS LAST) = 1)
 """
 
@@ -261,14 +326,14 @@ inc AS (SELECT * REPLACE (coalesce(nullif({_fold('status')}, ''), 'active') AS s
   CASE WHEN i.entity_id IS NOT NULL AND (c.entity_id IS NULL OR c.source_version <= i.source_version) THEN epoch_us(coalesce(i.created_at, c.created_at, TIMESTAMPTZ '2026-01-01 00:00:00+00')) ELSE epoch_us(c.created_at) END AS created_us
 FROM cur c FULL JOIN inc i ON c.entity_type = i.entity_type AND c.entity_id = i.entity_id""",
 )
-def versioned_upsert(spark, folder, incoming=_incoming):
-    state, _ = writes.upsert(_current(spark, folder), incoming(spark, folder), NOW)
+def versioned_upsert(spark, folder):
+    state, _ = writes.upsert(_current(spark, folder), _others(spark, folder), NOW)
     return state.select(*KEY, "source_version", "status", F.unix_micros("created_at").alias("created_us"))
 
 
 @add("rejected_writes", _MERGE + "SELECT i.entity_type, i.entity_id, c.entity_id IS NULL OR c.source_version <= i.source_version AS applied FROM inc i LEFT JOIN cur c ON c.entity_type = i.entity_type AND c.entity_id = i.entity_id")
-def rejected_writes(spark, folder, incoming=_incoming):
-    return writes.upsert(_current(spark, folder), incoming(spark, folder), NOW)[1]
+def rejected_writes(spark, folder):
+    return writes.upsert(_current(spark, folder), _others(spark, folder), NOW)[1]
 
 
 @add(
@@ -277,26 +342,21 @@ def rejected_writes(spark, folder, incoming=_incoming):
     + """SELECT coalesce(i.entity_type, c.entity_type) AS entity_type, coalesce(i.entity_id, c.entity_id) AS entity_id, CASE WHEN c.entity_id IS NULL THEN 0 ELSE c.source_version END AS source_version
 FROM cur c FULL JOIN inc i ON c.entity_type = i.entity_type AND c.entity_id = i.entity_id""",
 )
-def unversioned_upsert(spark, folder, incoming=_incoming):
-    return writes.upsert(_current(spark, folder), incoming(spark, folder), NOW, versioned=False)[0].select(*KEY, "source_version")
-
-
-# the same with every row outside the active generation as incoming
-for _q in (versioned_upsert, rejected_writes, unversioned_upsert):
-    add(f"{_q.__name__}_all", SQL[_q.__name__].replace("generation_id IN (5, 8)", "generation_id IS DISTINCT FROM (SELECT id FROM index_generations WHERE status = 'active')"))(partial(_q, incoming=_others))
+def unversioned_upsert(spark, folder):
+    return writes.upsert(_current(spark, folder), _others(spark, folder), NOW, versioned=False)[0].select(*KEY, "source_version")
 
 
 @add(
     "tombstone",
     _MERGE
-    + f""", d AS (SELECT trim(entity_type) AS entity_type, trim(entity_id) AS entity_id, max(event_order) AS v FROM search_index_events WHERE {_fold('action')} = 'delete' AND trim(entity_id) <> '' GROUP BY 1, 2)
+    + f""", d AS (SELECT {_EKEY}, max(event_order) AS v FROM search_index_events WHERE {_fold('action')} = 'delete' AND trim(entity_id, {BLANKS}) <> '' GROUP BY 1, 2)
 SELECT coalesce(d.entity_type, c.entity_type) AS entity_type, coalesce(d.entity_id, c.entity_id) AS entity_id, CASE WHEN d.v IS NOT NULL AND (c.entity_id IS NULL OR c.source_version <= d.v) THEN 'deleted' ELSE c.status END AS status,
   CASE WHEN d.v IS NOT NULL AND (c.entity_id IS NULL OR c.source_version <= d.v) THEN d.v ELSE c.source_version END AS source_version, CASE WHEN c.entity_id IS NULL THEN '' ELSE c.title END AS title,
   CASE WHEN d.v IS NOT NULL AND (c.entity_id IS NULL OR c.source_version <= d.v) THEN 'gone' ELSE c.payload->>'$.reason' END AS reason
 FROM cur c FULL JOIN d ON c.entity_type = d.entity_type AND c.entity_id = d.entity_id""",
 )
 def tombstones(spark, folder):
-    e = _events(spark, folder).where((F.lower(F.btrim("action")) == "delete") & (F.length(F.btrim("entity_id")) > 0))
+    e = _events(spark, folder).where((folded("action") == "delete") & (F.length(trimmed("entity_id")) > 0))
     keys = e.select(*KEY, F.col("event_order").alias("source_version"), F.lit("gone").alias("reason"))
     state, _ = writes.tombstone(_current(spark, folder), keys, NOW)
     return state.select(*KEY, "status", "source_version", "title", F.get_json_object("payload", "$.reason").alias("reason"))
@@ -313,7 +373,7 @@ def job_summary(spark, folder):
     return metrics.job_summary(load(spark, folder, "index_sync_log")).select(F.unix_micros("last_success").alias("last_success_us"), "failed", "running", "last_failure")
 
 
-@add("index_lag", "SELECT greatest(0, (epoch_us(TIMESTAMPTZ '2026-01-01 00:00:00+00') - min(epoch_us(created_at)) FILTER (processed_at IS NULL)) / 1000000)::DOUBLE AS lag_seconds FROM search_index_events")
+@add("index_lag", "SELECT greatest(0, (epoch_us(TIMESTAMPTZ '2026-01-01 00:00:00+00') - min(t) FILTER (NOT done)) / 1000000)::DOUBLE AS lag_seconds FROM (SELECT min(epoch_us(created_at)) AS t, count(processed_at) > 0 AS done FROM search_index_events GROUP BY id)")
 def index_lag(spark, folder):
     return metrics.feed_lag(_events(spark, folder), NOW)
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.terms import folded
+from skein.functions.terms import folded, trimmed
 from skein.operators.current import active_generation
 from skein.operators.writes import latest_per_key
 
@@ -46,19 +46,25 @@ def outbox_range(events: DataFrame, after: int, upto: int, *, attempts: int = AT
     return not_given_up(events.where((F.col("event_order") > after) & (F.col("event_order") <= upto)), attempts=attempts)
 
 
+def by_key(events: DataFrame) -> DataFrame:
+    """The events with their keys in the one form in which keys count: without outer white space."""
+    return events.withColumns({"entity_type": trimmed("entity_type"), "entity_id": trimmed("entity_id")})
+
+
 def latest_per_entity(events: DataFrame) -> DataFrame:
-    """The last event of each entity, by order, time and id."""
-    return latest_per_key(events, ["entity_type", "entity_id"], ["event_order", "created_at", "id"])
+    """The last event of each entity, by order, time and id. All columns travel: select what is needed first."""
+    return latest_per_key(by_key(events), ["entity_type", "entity_id"], ["event_order", "created_at", "id"])
 
 
 def events_per_entity(events: DataFrame) -> DataFrame:
-    """(entity_type, entity_id, n_events): how many different events were folded into one outcome."""
-    return events.groupBy("entity_type", "entity_id", "id").agg(F.count("*").alias("_")).groupBy("entity_type", "entity_id").agg(F.count("*").alias("n_events"))
+    """(entity_type, entity_id, id): the different events that are folded into one outcome; as rows, so that an entity may
+    have any number of them."""
+    return by_key(events.select("entity_type", "entity_id", "id")).distinct()
 
 
 def versions_of(keys: DataFrame, events: DataFrame) -> DataFrame:
     """``keys`` with the highest event_order of each, 0 where the feed has none."""
-    top = events.groupBy("entity_type", "entity_id").agg(F.max("event_order").alias("version"))
+    top = by_key(events).groupBy("entity_type", "entity_id").agg(F.max("event_order").alias("version"))
     return keys.join(top, ["entity_type", "entity_id"], "left").withColumn("version", F.coalesce("version", F.lit(0)))
 
 

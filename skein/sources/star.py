@@ -7,12 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.terms import folded
 from skein.session import load
 
 
 def source_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
     """part: Resource, orders: Post, customer: User, supplier: Organization, nation: OfficialTag of a region's group,
-    part types: Tag, documents: CustomPage. Keys become strings; orders have no text, parts no time but a fixed one."""
+    part types: Tag, documents: CustomPage, those of two sources
+    also PlayerServer and Video, with their languages as categories. Keys become strings; orders have no text, parts no time but a fixed one."""
     t = {n: load(spark, folder, n) for n in ("part", "lineitem", "orders", "customer", "nation", "region", "supplier", "documents")}
     at = F.timestamp_seconds(F.lit(1_700_000_000))
     none, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
@@ -31,4 +33,14 @@ def source_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
         "Tag": t["part"].groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("count")).select(F.md5("name").alias("id"), "name", F.lower("name").alias("slug"), "count", at.alias("createdAt")),
         "CustomPage": t["documents"].select(text("doc_id").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("source").isNotNull().alias("published"), F.lower("source").alias("category"), none.alias("description"), F.col("text").alias("content"), F.col("created_at").alias("createdAt"), F.col("created_at").alias("updatedAt"), F.col("source").alias("slug")),
     }
+    first, lang = F.element_at(F.split("text", "\n"), 1), F.lower("lang")
+    page = lambda kind: t["documents"].where(folded("source") == kind).withColumns({"id": text("doc_id"), "title": first, "status": F.lit("Published"), "authorId": F.col("author_id"), "views": F.col("n_chars"), "likeCount": F.lit(0), "favoriteCount": F.lit(0), "createdAt": F.col("created_at"), "updatedAt": F.col("created_at")})
+    common = ["id", "title", "status", "authorId", "views", "likeCount", "favoriteCount", "createdAt", "updatedAt"]
+    languages = t["documents"].select(lang.alias("id")).where("id IS NOT NULL").distinct()
+    out |= {
+        "PlayerServer": page("server-page").select(*common, F.lit("public").alias("visibility"), lang.alias("category"), none.alias("tags"), F.when(lang.isNotNull(), F.to_json(F.array(lang))).alias("versions"), F.lit('["public"]').alias("networkEnvironments"), none.alias("description"), F.lit("java").alias("platform")),
+        "PlayerServerCategory": languages.select(F.concat(F.lit("id-"), "id").alias("id"), F.upper("id").alias("name"), F.col("id").alias("slug")),
+        "Video": page("video-notes").select(*common, F.when(F.col("lang").isNull(), "private").otherwise("public").alias("visibility"), lang.alias("categoryId"), F.col("lang").alias("tags"), none.alias("description"), F.lit("upload").alias("sourceType")),
+        "VideoCategory": languages.select("id", F.upper("id").alias("name"), F.col("id").alias("slug")),
+    }
     return out

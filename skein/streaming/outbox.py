@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skein.functions.terms import folded, trimmed
 from skein.operators.catalog import Catalog, Moved
 from skein.plans.request import ENTITY_TYPES
 from skein.session import materialize
@@ -52,7 +53,7 @@ class OutboxStream:
         old = self._dead()
         again = old.where(F.col("attempts") < self.attempts)
         rows = materialize(batch.select("id", "entity_type", "entity_id", "action", "event_order", "created_at").withColumn("attempts", F.lit(0)).unionByName(again), "batch")
-        fine = F.lower(F.btrim("entity_type")).isin(*ENTITY_TYPES) & (F.length(F.btrim("entity_id")) > 0) & F.col("event_order").isNotNull()
+        fine = folded("entity_type").isin(*ENTITY_TYPES) & (F.length(trimmed("entity_id")) > 0) & F.col("event_order").isNotNull()
         good, bad = rows.where(F.coalesce(fine, F.lit(False))), rows.where(~F.coalesce(fine, F.lit(False)))
         failed = bad.withColumn("attempts", F.col("attempts") + 1).unionByName(old.where(F.col("attempts") >= self.attempts))
         failed.write.mode("overwrite").parquet(dead := f"{self.checkpoint}/dead/{n:012d}")
