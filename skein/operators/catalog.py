@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from functools import reduce
 from operator import and_
+from threading import Event, Thread
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +46,10 @@ class Moved(RuntimeError):
     """The catalogue changed since it was read."""
 
 
+#: Fixed value: a build that has not been heard of for so many seconds is dead.
+LEASE_S = 120
+
+
 class RebuildInProgress(RuntimeError):
     """Another generation is being built."""
 
@@ -114,6 +121,32 @@ class Catalog:
 
         return self._change(f)[-1]["id"]
 
+    def _lease(self, id: int):
+        return self.log._path(f"{self.home}/lease={id}")
+
+    def renew(self, id: int) -> None:
+        """Says that the build of a generation is alive, by the age of a small file."""
+        self.log._fs.create(self._lease(id), True).close()
+
+    @contextmanager
+    def building(self, id: int, every: float = LEASE_S / 4):
+        """Renews the lease of a build while the block runs."""
+        done = Event()
+
+        def beat() -> None:
+            while not done.wait(every):
+                self.renew(id)
+
+        self.renew(id)
+        thread = Thread(target=beat, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
+            self.log._fs.delete(self._lease(id), False)
+
     def _write(self, rows: DataFrame, g: dict) -> dict[str, str]:
         """Bucket -> new folder, for the buckets that the rows are in."""
         root = f"{self.home}/generation={g['id']}/{uuid.uuid4().hex}"
@@ -123,9 +156,10 @@ class Catalog:
         return {k: f"{root}/_bucket={k}" for k in have}
 
     def save(self, rows: DataFrame, id: int) -> dict:
-        """Writes a whole snapshot and its tag table; what ``put`` needs."""
-        g = self._find(self.generations(), id)
-        part = {"files": self._write(rows, g), "schema": rows.schema.json()}
+        """Writes a whole snapshot and its tag table; what ``put`` needs, and the number of rows that were written."""
+        g, seen = self._find(self.generations(), id), Observation()
+        part = {"files": self._write(rows.observe(seen, F.count(F.lit(1)).alias("n")), g), "schema": rows.schema.json()}
+        part["written"] = seen.get["n"]
         stored = self.read(part)
         tag_index(stored).write.parquet(tags := f"{self.home}/tags={id}/{uuid.uuid4().hex}")
         return part | {"tags": tags, "documents": stored.count()}
@@ -197,11 +231,18 @@ class Catalog:
     def fail(self, id: int, reason: str) -> None:
         self._change(lambda rows: self._turn(self._find(rows, id), "failed", failure=reason[:1000]))
 
-    def recover(self) -> list[int]:
-        """Generations left behind by a dead build turn failed; to be called by the one builder before it starts."""
-        stale = [g["id"] for g in self.generations() if g["status"] == "building"]
-        for id in stale:
-            self.fail(id, "abandoned")
+    def recover(self, lease_s: float = LEASE_S) -> list[int]:
+        """Generations left behind by a dead build turn failed: those whose lease was not renewed for ``lease_s`` seconds, or,
+        where there is none, that were created so long ago. A living build is left alone."""
+        fs, stale = self.log._fs, []
+        now = self.clock().timestamp()
+        for g in self.generations():
+            if g["status"] == "building":
+                lease = self._lease(g["id"])
+                age = time.time() - fs.getFileStatus(lease).getModificationTime() / 1000 if fs.exists(lease) else now - datetime.fromisoformat(g["created_at"]).timestamp()
+                if age > lease_s:
+                    self.fail(g["id"], "abandoned")
+                    stale.append(g["id"])
         return stale
 
 
@@ -243,17 +284,23 @@ def rebuild(catalog: Catalog, source: Callable[[], DataFrame], events: Callable[
     included. The switch holds only if the catalogue is the one from before that look: what the stream put on the
     old generation before it was in the feed then, and what it puts there after it makes the switch fail and the look
     repeat; what comes later finds the new generation active. On any error the new generation turns failed and the
-    active one stays.
+    active one stays. Valid is a snapshot that holds as many rows as were given to the writer, each under a key of its own
+    that is not blank. A build holds a lease; a second one is refused while it lives.
     """
     catalog.recover()
     mark = high_mark(events())
     id = catalog.create(mark)
+    with catalog.building(id):
+        return _build(catalog, id, mark, source, events)
+
+
+def _build(catalog: Catalog, id: int, mark: int, source: Callable[[], DataFrame], events: Callable[[], DataFrame]) -> int:
     event = ["id", "entity_type", "entity_id", "event_order"]
     try:
         seen = materialize(events().where(F.col("event_order") <= mark).select(*event).distinct(), "seen")
         versions = by_key(seen).groupBy("entity_type", "entity_id").agg(F.max("event_order").alias("version"))
         part = catalog._find(catalog.generations(), id) | catalog.save(index_rows(build_documents(source()), catalog.clock(), versions), id)
-        check = validate_generation(catalog.read(part), part["documents"]).first()
+        check = validate_generation(catalog.read(part), part["written"]).first()
         if not check.valid or check.rows != check.keys:
             raise ValueError(f"invalid generation: {check.rows} rows, {check.keys} keys, {check.blank_keys} blank keys")
         while True:

@@ -1,10 +1,9 @@
-"""Scores as column expressions; only the density of several terms needs an Arrow-batched function."""
+"""Scores as column expressions."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ def text_rank(q: TextQuery, s: Scoring) -> Column:
     """Cover density, squashed to r / (r + 1).
 
     One group of single tokens: every occurrence is a cover of its own, so r is the weighted number of occurrences, in
-    plain expressions. Otherwise the covers are found by _density over the token columns.
+    plain expressions. Otherwise the covers are found by _density over the token columns, in array expressions.
     """
     if not q.groups:
         return F.lit(0.0)
@@ -45,51 +44,31 @@ def text_rank(q: TextQuery, s: Scoring) -> Column:
         words = [a[0] for a in q.groups[0]]
         r = sum((F.size(F.filter(c, lambda t: t.isin(words))) * F.lit(w) for c, w in weights.items()), F.lit(0.0))
     else:
-        r = _density([sorted({t for a in g for t in a}) for g in q.groups], list(weights.values()))(*weights)
+        r = _density([sorted({t for a in g for t in a}) for g in q.groups], weights)
     return r / (r + 1)
 
 
-def _density(groups: list[list[str]], weights: list[float]):
+def _density(groups: list[list[str]], weights: dict[str, float]) -> Column:
     """Sum over minimal covers: stretches that hold a token of every group and contain no shorter such stretch. A cover is
     worth the harmonic mean of its tokens' weights over one plus the number of other tokens in it (Clarke, Cormack and
-    Tudhope 1999)."""
-    group_of: dict[str, list[int]] = {}
-    for i, g in enumerate(groups):
-        for t in g:
-            group_of.setdefault(t, []).append(i)
-
-    def one(parts) -> float:
-        at, hits = 0, []
-        for tokens, w in zip(parts, weights):
-            for t in tokens if tokens is not None else ():
-                if t in group_of:
-                    hits.append((at, w, group_of[t]))
-                at += 1
-        total, left, have = 0.0, 0, [0] * len(groups)
-        for right, (_, _, found) in enumerate(hits):
-            for g in found:
-                have[g] += 1
-            while all(have):
-                own = hits[left][2]
-                if all(have[g] > 1 for g in own):
-                    for g in own:
-                        have[g] -= 1
-                    left += 1
-                    continue
-                inside = [w for _, w, _ in hits[left : right + 1]]
-                if min(inside) > 0:
-                    other = hits[right][0] - hits[left][0] + 1 - len(inside)
-                    total += len(inside) / sum(1 / w for w in inside) / (1 + other)
-                for g in own:
-                    have[g] -= 1
-                left += 1
-        return total
-
-    @F.pandas_udf("double")
-    def density(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([one(x) for x in zip(a, b, c, d)], dtype="float64")
-
-    return density
+    Tudhope 1999); one with a token of weight 0 is worth nothing.
+
+    All in array expressions: the tokens of the fields in a row are cut down to those of some group, with place, weight and
+    the groups as bits; going over them, the last place of each group is kept, and where the earliest of these moves
+    on a minimal cover ends.
+    """
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    bits = " | ".join(f"IF(t IN ({', '.join(map(quoted, g))}), {1 << i}L, 0L)" for i, g in enumerate(groups))
+    ends = [" + ".join(f"size({c})" for c in list(weights)[: k + 1]) for k in range(len(weights))]
+    weight = "CASE " + " ".join(f"WHEN i < {e} THEN {float(w)!r}D" for e, w in zip(ends, weights.values())) + " END"
+    hits = f"filter(transform(concat({', '.join(weights)}), (t, i) -> struct(i AS p, {bits} AS g, {weight} AS w)), x -> x.g != 0)"
+    n = len(groups)
+    last = f"transform(a.last, (l, k) -> IF(shiftright(h.g, k) & 1 = 1, h.i, l))"
+    cover = "slice(hits, array_min(n.last) + 1, h.i - array_min(n.last) + 1)"
+    worth = f"transform(array({cover}), s -> IF(exists(s, x -> x.w <= 0), 0D, size(s) / aggregate(s, 0D, (r, x) -> r + 1 / x.w) / (element_at(s, -1).p - s[0].p + 2 - size(s))))[0]"
+    step = f"transform(array(struct({last} AS last)), n -> struct(n.last AS last, greatest(a.lo, array_min(n.last)) AS lo, a.total + IF(array_min(n.last) > a.lo, {worth}, 0D) AS total))[0]"
+    walk = f"aggregate(transform(hits, (x, i) -> struct(x.g AS g, i AS i)), struct(array_repeat(-1, {n}) AS last, -1 AS lo, 0D AS total), (a, h) -> {step}, a -> a.total)"
+    return F.expr(f"transform(array({hits}), hits -> {walk})[0]")
 
 
 def boost(q: TextQuery) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import tokens
 from skein.operators import postings, predicates, scoring, search, tags
+from skein.operators.catalog import Catalog
 from skein.operators.current import active_generation
 from skein.operators.view import open_view
 from skein.plans.config import Config, Scoring
@@ -30,6 +31,22 @@ def view(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return open_view(load(spark, folder, "search_index"), active and active[0], columns or None)
 
 
+_SNAPSHOTS: dict[tuple[str, str], Catalog] = {}
+
+
+def snapshot(spark: SparkSession, folder: str) -> Catalog:
+    """The active generation as a snapshot of a catalogue: one row per key, with its tokens. Written once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SNAPSHOTS or _SNAPSHOTS[key].log.last()[1] is None:
+        active = active_generation(load(spark, folder, "index_generations"))
+        c = Catalog(spark, scratch(spark, "snapshot"))
+        id = c.create(active[1] if active else 0)
+        c.put(id, c.save(view(spark, folder), id))
+        c.activate(id)
+        _SNAPSHOTS[key] = c
+    return _SNAPSHOTS[key]
+
+
 # The same view in SQL.
 _RE = r"\p{Han}|(?:[^\P{L}\p{Han}]|\p{Nd})(?:[^\P{L}\p{Han}]|\p{Nd}|\p{M}|[_.\-])*"
 tok_sql = lambda x: f"list_filter(list_transform(regexp_extract_all(lower(coalesce({x}, '')), '{_RE}'), lambda t: regexp_replace(t, '[._\\-]+$', '')), lambda t: t <> '')"
@@ -208,11 +225,47 @@ def topk(spark, folder):
     return page.items.select(*KEY)
 
 
-@add("relevance_multi_term")
+# covers of two words: neighbours among the places of either, ended by the other word
+_MULTI = (
+    VIEW
+    + """, r AS (SELECT * FROM open WHERE list_contains(tok, 'harbor') AND list_contains(tok, 'survival')),
+places AS (SELECT entity_type, entity_id, i, tok[i] AS t, CASE WHEN i <= len(tok_a) THEN 8.0::DOUBLE / 17 WHEN i <= len(tok_a) + len(tok_b) THEN 5.0::DOUBLE / 17 WHEN i <= len(tok_a) + len(tok_b) + len(tok_c) THEN 3.0::DOUBLE / 17 ELSE 1.0::DOUBLE / 17 END AS w
+  FROM (SELECT *, unnest(range(1, len(tok)::BIGINT + 1)) AS i FROM r)),
+pairs AS (SELECT *, lag(t) OVER p AS t0, lag(i) OVER p AS i0, lag(w) OVER p AS w0 FROM places WHERE t IN ('harbor', 'survival') WINDOW p AS (PARTITION BY entity_type, entity_id ORDER BY i)),
+dense AS (SELECT entity_type, entity_id, sum(2 / (1 / w + 1 / w0) / (i - i0)) AS raw FROM pairs WHERE t <> t0 GROUP BY ALL)
+"""
+)
+_MULTI_SCORE = f"SELECT entity_type, entity_id, round(round(raw / (raw + 1) * 0.72::DOUBLE + {_POP} * 0.2::DOUBLE + {_FRESH} * 0.08::DOUBLE, 9), 6) AS score FROM r JOIN dense USING (entity_type, entity_id)"
+
+
+@add("relevance_multi_term", _MULTI + _MULTI_SCORE)
 def relevance_multi_term(spark, folder):
     return _ranked(spark, folder, Request(query="harbor survival")).select(*KEY, F.round("score", 6).alias("score"))
 
 
+# the same over a snapshot: no fold of the generation comes before the filter
+@add("snapshot_match", _KEYS + "list_contains(tok, 'harbor') AND list_contains(tok, '1.20.1')")
+def snapshot_match(spark, folder):
+    r = checked(Request(query="harbor 1.20.1"))
+    return search.matched(snapshot(spark, folder).rows(), r, parse(r.query, CONFIG.synonyms), CONFIG).select(*KEY)
+
+
+@add("snapshot_relevance", _MULTI + _MULTI_SCORE)
+def snapshot_relevance(spark, folder):
+    return search.ranked(snapshot(spark, folder).rows(), checked(Request(query="harbor survival")), CONFIG, NOW)[0].select(*KEY, F.round("score", 6).alias("score"))
+
+
+@add("snapshot_page", _REL + "SELECT entity_type, entity_id FROM scored ORDER BY round(score, 9) DESC, sort_time DESC, entity_type, entity_id LIMIT 10")
+def snapshot_page(spark, folder):
+    c = snapshot(spark, folder)
+    return search.search(c.rows(), Request(query="quest", limit=10, scoring_time=NOW), generation=c.active()["id"], config=CONFIG).items.select(*KEY)
+
+
+@add("snapshot_tags", VIEW + "SELECT t AS tag, count(*) AS total_count FROM (SELECT unnest(tags) AS t FROM open WHERE entity_type NOT IN ('tag', 'official_tag')) WHERE NOT regexp_full_match(t, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') GROUP BY t")
+def snapshot_tags(spark, folder):
+    return snapshot(spark, folder).tags().select("tag", "total_count")
+
+
 _TEXT = "lower(coalesce(title, '') || ' ' || array_to_string(tags, ' ') || ' ' || array_to_string(keywords, ' ') || ' ' || coalesce(payload, ''))"
 
 
@@ -264,6 +317,23 @@ def highlight(spark, folder):
     return page.items.select(*KEY, "hl_title", F.array_join("hl_tags", "|").alias("hl_tags"), F.array_join("hl_keywords", "|").alias("hl_keywords"), "hl_payload")
 
 
+_ESCAPED = lambda x: f"replace(replace(replace(replace(replace(trim({x}), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+_MARKED = lambda x: f"regexp_replace({_ESCAPED(x)}, '((?:quest|adventure)+)', '<mark>\\1</mark>', 'gi')"
+_HIT = lambda x: f"regexp_matches({x}, '(?i)quest|adventure')"
+
+
+@add(
+    "highlight_page",
+    _REL
+    + f""", top AS (SELECT * FROM scored ORDER BY round(score, 9) DESC, sort_time DESC, entity_type, entity_id LIMIT 20)
+SELECT entity_type, entity_id, CASE WHEN {_HIT("title")} THEN {_MARKED("title")} END AS hl_title, nullif(array_to_string(list_transform(list_filter(tags, lambda t: {_HIT("t")}), lambda t: {_MARKED("t")}), '|'), '') AS hl_tags,
+  nullif(array_to_string(list_transform(list_filter(keywords, lambda t: {_HIT("t")}), lambda t: {_MARKED("t")}), '|'), '') AS hl_keywords, CASE WHEN {_HIT("payload_text")} THEN {_MARKED("payload_text")} END AS hl_payload FROM top""",
+)
+def highlight_page(spark, folder):
+    page = search.search(view(spark, folder), Request(query="quest", limit=20, highlight=True, scoring_time=NOW), generation=1, config=CONFIG, with_facets=False)
+    return page.items.select(*KEY, "hl_title", F.array_join("hl_tags", "|").alias("hl_tags"), F.array_join("hl_keywords", "|").alias("hl_keywords"), "hl_payload")
+
+
 # paging
 @add("keyset_page2", _SCORED + "SELECT entity_type, entity_id FROM scored ORDER BY score DESC, sort_time DESC, entity_type, entity_id LIMIT 20 OFFSET 20")
 def keyset_page2(spark, folder):

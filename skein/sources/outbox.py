@@ -13,6 +13,8 @@ from skein.operators.writes import latest_per_key
 
 #: Events of one take, most in a take, lease, pause after a failure (both seconds), attempts.
 BATCH, MOST, LEASE_S, RETRY_S, ATTEMPTS = 200, 500, 120, 30, 10
+#: Fixed value: longest error that is kept, in bytes.
+ERROR_BYTES = 1000
 
 
 def latest_look(events: DataFrame) -> DataFrame:
@@ -35,6 +37,44 @@ def claim(events: DataFrame, now: datetime, batch: int = BATCH, **limits: int) -
     return eligible(events, now, **limits).orderBy("event_order", "id").limit(min(max(batch, 1), MOST))
 
 
+def marked(events: DataFrame, picked: DataFrame, now: datetime) -> DataFrame:
+    """The feed with ``locked_at`` = now on the events of ``picked`` (what ``claim`` gave: at most MOST ids)."""
+    mine = F.broadcast(picked.select(F.col("id").alias("_id"), F.lit(now).cast("timestamp").alias("_now")))  # at most MOST rows
+    both = events.join(mine, events["id"] == F.col("_id"), "left")
+    return both.withColumn("locked_at", F.coalesce("_now", "locked_at")).select(*events.columns)
+
+
+def _settled(events: DataFrame, ids: DataFrame, lock: datetime, changes: dict) -> tuple[DataFrame, DataFrame]:
+    """(the feed with ``changes`` on the events of ``ids`` that still carry this lock, ids that none carries any more)."""
+    own = ids.withColumnRenamed("id", "_id").withColumn("_mine", F.lit(True))
+    both = events.join(own, events["id"] == F.col("_id"), "left")
+    ours = F.coalesce(F.col("_mine") & (F.col("locked_at") == F.lit(lock).cast("timestamp")) & F.col("processed_at").isNull(), F.lit(False))
+    table = both.select(*[F.when(ours, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in events.columns])
+    held = events.where((F.col("locked_at") == F.lit(lock).cast("timestamp")) & F.col("processed_at").isNull()).select("id")
+    return table, ids.select("id").distinct().join(held, "id", "left_anti")
+
+
+def acknowledged(events: DataFrame, ids: DataFrame, lock: datetime, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(feed, ids whose lock was lost): the events of ``ids`` (id) become processed, without failure and lock, but only
+    where they carry the lock that was taken: a worker whose lease ran out cannot acknowledge what another has taken."""
+    none = F.lit(None).cast("timestamp")
+    return _settled(events, ids, lock, {"processed_at": F.lit(now).cast("timestamp"), "failed_at": none, "locked_at": none, "last_error": F.lit(None).cast("string"), "updated_at": F.lit(now).cast("timestamp")})
+
+
+def failed(events: DataFrame, errors: DataFrame, lock: datetime, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(feed, ids whose lock was lost): the events of ``errors`` (id, error: one row each) get one try more, the error's
+    first ERROR_BYTES bytes, whole characters, and no lock. Failures of the business only: what the infrastructure
+    breaks is ``released``."""
+    kept = F.expr(f"element_at(filter(transform(sequence(least(length(error), {ERROR_BYTES}), 0, -1), n -> left(error, n)), x -> octet_length(x) <= {ERROR_BYTES}), 1)")
+    t = F.lit(now).cast("timestamp")
+    return _settled(events, errors, lock, {"failed_at": t, "last_error": kept, "attempts": (F.coalesce("attempts", F.lit(0)) + 1).cast("int"), "locked_at": F.lit(None).cast("timestamp"), "updated_at": t})
+
+
+def released(events: DataFrame, ids: DataFrame, lock: datetime) -> tuple[DataFrame, DataFrame]:
+    """(feed, ids whose lock was lost): the events lose the lock and no try."""
+    return _settled(events, ids, lock, {"locked_at": F.lit(None).cast("timestamp")})
+
+
 def not_given_up(events: DataFrame, *, attempts: int = ATTEMPTS) -> DataFrame:
     """Events without those given up (attempts used up, failed, not processed)."""
     given_up = (F.coalesce("attempts", F.lit(0)) >= attempts) & F.col("failed_at").isNotNull() & F.col("processed_at").isNull()

@@ -5,14 +5,15 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators.catalog import Catalog, IndexUnavailable, RebuildInProgress, rebuild, rebuild_entity
+from skein.operators.catalog import Catalog, IndexUnavailable, Moved, RebuildInProgress, rebuild, rebuild_entity
 from skein.operators.search import RESULT, search
 from skein.operators.tags import tag_index
 from skein.plans.request import Request
 from skein.plans.responses import answer
 from skein.queries import index
 from skein.sources.adapters import ROW
-from skein.sources.outbox import eligible
+from skein.sources.manifests import ManifestLog
+from skein.sources.outbox import acknowledged, claim, eligible, failed, marked, released
 from skein.streaming.outbox import EVENT_SCHEMA, OutboxStream, event_stream
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -58,7 +59,67 @@ def test_generation_states(spark, tmp_path):
     with pytest.raises(ValueError):
         c.activate(three)
     stale = c.create(8)
-    assert c.recover() == [stale]
+    assert c.recover() == [] and c.recover(lease_s=-1) == [stale]  # young, then old
+
+
+def test_a_living_build_is_not_taken_for_dead(spark, tmp_path):
+    now = [NOW]
+    c = Catalog(spark, f"file://{tmp_path}/c", lambda: now[0])
+    id = c.create(1)
+    now[0] = datetime(2026, 2, 1, tzinfo=timezone.utc)
+    with c.building(id):  # created long ago, but its lease is fresh
+        assert c.recover() == []
+        with pytest.raises(RebuildInProgress):
+            rebuild(c, lambda: source_rows(spark, {"1": "x"}), lambda: feed_rows(spark))
+        assert c.generations()[-1]["status"] == "building"
+    assert c.recover() == [id]
+
+
+def test_of_two_writers_one_fails_and_a_killed_one_leaves_no_cut_entry(spark, tmp_path):
+    log = ManifestLog(spark, f"file://{tmp_path}/log")
+    log.append(0, {"a": 1})
+    with pytest.raises(FileExistsError):
+        log.append(0, {"b": 2})
+    assert log.last() == (1, {"a": 1}) and sorted(x.name for x in (tmp_path / "log").iterdir() if not x.name.startswith(".")) == ["000000000000.json"]
+    (tmp_path / "log" / "_dead").write_text('{"cut')  # what a writer that died has left
+    log.append(1, {"c": 3})
+    assert log.all() == [{"a": 1}, {"c": 3}]
+    c, d = (Catalog(spark, f"file://{tmp_path}/c") for _ in range(2))
+    id = c.create(1)
+    seen = c.generations()[0]
+    d.put(id, {"files": {}, "schema": None, "tags": None, "documents": 7})
+    with pytest.raises(Moved):
+        c.put(id, {"files": {}, "schema": None, "tags": None, "documents": 8}, seen=seen)
+    assert c.generations()[0]["documents"] == 7
+
+
+def test_rows_that_are_lost_on_the_way_make_a_generation_invalid(spark, tmp_path, monkeypatch):
+    c = Catalog(spark, f"file://{tmp_path}/c", lambda: NOW)
+    good = rebuild(c, lambda: source_rows(spark, {"1": "x", "2": "y"}), lambda: feed_rows(spark))
+    whole = Catalog.read
+    monkeypatch.setattr(Catalog, "read", lambda self, g, buckets=None: whole(self, g, buckets).where("entity_id = '1'"))
+    with pytest.raises(ValueError, match="invalid generation"):
+        rebuild(c, lambda: source_rows(spark, {"1": "x", "2": "y"}), lambda: feed_rows(spark))
+    assert c.active()["id"] == good and c.generations()[-1]["status"] == "failed"
+
+
+def test_claim_acknowledge_fail_release(spark):
+    kinds = "id string, event_order bigint, created_at timestamp, updated_at timestamp, processed_at timestamp, failed_at timestamp, locked_at timestamp, last_error string, attempts int"
+    feed = spark.createDataFrame([(x, n, T, T, None, None, None, None, 1) for n, x in enumerate("abcd")] + [("z", 9, T, T, NOW, None, None, None, 1)], kinds)
+    picked = claim(feed, NOW, 3)
+    feed = marked(feed, picked, NOW)
+    assert {r.id for r in feed.where("locked_at IS NOT NULL").collect()} == {"a", "b", "c"} and [r.id for r in claim(feed, NOW).collect()] == ["d"]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    later = datetime(2026, 1, 2, tzinfo=timezone.utc)
+    feed, lost = acknowledged(feed, ids("a", "d"), NOW, later)
+    assert [r.id for r in lost.collect()] == ["d"]
+    feed, lost = failed(feed, spark.createDataFrame([("b", "界" * 400)], "id string, error string"), NOW, later)
+    assert lost.count() == 0
+    feed, _ = released(feed, ids("c"), NOW)
+    rows = {r.id: r for r in feed.collect()}
+    assert rows["a"].processed_at and not rows["a"].locked_at and rows["b"].attempts == 2 and rows["b"].last_error == "界" * 333 and rows["b"].failed_at
+    assert rows["c"].attempts == 1 and not rows["c"].locked_at and not rows["d"].processed_at and len(rows) == 5
+    assert {r.id for r in eligible(feed, later).collect()} == {"c", "d"}  # b rests
 
 
 def test_rebuild_catches_up_and_keeps_post_bodies_private(spark, tmp_path):
@@ -139,14 +200,14 @@ def test_stream_applies_late_repeated_and_broken_events_once(spark, tmp_path):
     rebuild(c, lambda: source_rows(spark, {"1": "one", "2": "two", "4": "four"}), lambda: feed_rows(spark))
     inbox = f"{tmp_path}/inbox"
     events(spark, ("a", "1", "update", 10), ("b", "2", "delete", 11), ("x", " ", "update", 12)).coalesce(1).write.mode("append").parquet(inbox)
-    w = OutboxStream(c, lambda: source_rows(spark, {"1": "one, again", "2": "two", "3": "three"}), f"file://{tmp_path}/ck", attempts=2)
+    w = OutboxStream(c, lambda: source_rows(spark, {"1": "one, again", "2": "two", "3": "three"}), f"file://{tmp_path}/ck", attempts=2, retry_s=0)
     w.start(event_stream(spark, inbox), available_now=True).awaitTermination()
     assert titles(c) == {"1": ("one, again", "active", 10), "2": ("two", "deleted", 11), "4": ("four", "active", 0)}
     late = events(spark, ("c", "2", "update", 7), ("a", "1", "update", 10), ("d", "3", "insert", 13), ("e", "4", "update", 14))
     late.coalesce(1).write.mode("append").parquet(inbox)
     w.start(event_stream(spark, inbox), available_now=True).awaitTermination()
     assert titles(c) == {"1": ("one, again", "active", 10), "2": ("two", "deleted", 11), "3": ("three", "active", 13), "4": ("four", "deleted", 14)}
-    assert [(r.id, r.attempts) for r in w.dead().collect()] == [("x", 2)]
+    assert [(r.id, r.attempts, r.last_error) for r in w.dead().collect()] == [("x", 2, "no entity id")]
     before = c.active()["files"]
     w.apply(late, c.active()["batch"])  # the same batch again
     assert c.active()["files"] == before
