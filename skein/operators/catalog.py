@@ -171,20 +171,25 @@ class Catalog:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def apply(self, g: dict, events: DataFrame, source: DataFrame) -> tuple[dict, DataFrame]:
-        """(the generation with the events applied, report). Only touched buckets are read and written, and only tags
-        that a changed row had or has are counted anew."""
-        keys = by_key(events.select("entity_type", "entity_id")).distinct()
+        """(the generation with the events applied, report)."""
+        return self.merge(g, events.select("entity_type", "entity_id"), lambda before: apply_events(before, events, source, self.clock()))
+
+    def merge(self, g: dict, keys: DataFrame, change: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[dict, DataFrame]:
+        """(the generation with a change to rows of ``keys``, report). ``change``: rows -> (new rows, report). Only buckets of
+        the keys are read and written, only their rows are counted, and only tags that a changed row had or has are
+        counted anew."""
+        keys = by_key(keys).distinct()
         touched = [str(r.b) for r in keys.select(bucket_of(g["buckets"]).alias("b")).distinct().collect()]  # at most all buckets
         before = self.read(g, touched)
-        state, report = apply_events(before, events, source, self.clock())
+        state, report = change(before)
         report = materialize(report, "report")
         new = {"files": g["files"] | self._write(state, g), "schema": g["schema"]}
+        after = self.read(new, touched)
         changed = lambda rows: rows.join(keys, ["entity_type", "entity_id"], "left_semi").select(F.explode("tags").alias("tag"))
-        anew = materialize(changed(before).unionByName(changed(self.read(new, touched))).distinct(), "tags")
-        whole = self.read(new)
+        anew = materialize(changed(before).unionByName(changed(after)).distinct(), "tags")
         old = self.spark.read.parquet(g["tags"]).join(anew, "tag", "left_anti")
-        old.unionByName(tag_index(whole, anew)).write.parquet(tags := f"{self.home}/tags={g['id']}/{uuid.uuid4().hex}")
-        return g | new | {"tags": tags, "documents": whole.count()}, report
+        old.unionByName(tag_index(self.read(new), anew)).write.parquet(tags := f"{self.home}/tags={g['id']}/{uuid.uuid4().hex}")
+        return g | new | {"tags": tags, "documents": g["documents"] + after.count() - before.count()}, report
 
     def rows(self, id: int | None = None) -> DataFrame:
         return self.read(self.active() if id is None else self._find(self.generations(), id))

@@ -6,10 +6,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from skein.operators import incremental
 from skein.operators.changes import apply_changes
 from skein.operators.current import active_generation, current_rows, listed_rows
 from skein.operators.incremental import IncrementalJob, pending_events
-from skein.operators.intervals import merge_intervals, points_in, subtract_intervals, to_intervals
+from skein.operators.intervals import _pieces, merge_intervals, points_in, subtract_intervals, to_intervals
 from skein.operators.skew import lookup_join, running_total
 
 BASE = "entity_type string, entity_id string, status string, source_version bigint, indexed_at timestamp, title string, color string"
@@ -100,6 +101,39 @@ def test_pending(spark):
     assert pending_events(df.limit(0), 0).count() == 0
 
 
+def test_pending_events_depend_on_the_intervals(spark, monkeypatch):
+    rows = [("a", 5, None), ("b", 6, t(1)), ("c", 6, None), ("d", 7, t(1)), ("e", 3, None), ("f", 9, None)]
+    df = spark.createDataFrame(rows, "id string, event_order bigint, processed_at timestamp")
+    ids = lambda: sorted(r.event_id for r in pending_events(df, 4).collect())
+    assert ids() == ["a", "c", "f"]
+    monkeypatch.setattr(incremental, "points_in", lambda points, seq, iv: points.select(seq).distinct().limit(0))
+    assert ids() == ["a", "b", "c", "d", "f"]  # nothing is known to be processed
+    monkeypatch.setattr(IncrementalJob, "settle", lambda self, upto: None)
+    assert ids() == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_settled_numbers_are_never_read_again_and_changed_records_are(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "event_order bigint, id string, seen int")
+    job = IncrementalJob(spark, f"file://{tmp_path}/job", watch=["seen"])
+    take = lambda *r: (job.run(rows(*r), lambda d: d), sorted((x.event_order, x.id, x.seen) for x in job.output().collect()))[1]
+    assert take((1, "a", 1), (2, "b", 1), (70_000, "c", 1)) == [(1, "a", 1), (2, "b", 1), (70_000, "c", 1)]
+    job.run(rows((1, "a", 2), (2, "b", 1), (2, "b", None)), lambda d: d)
+    assert sorted((x.event_order, x.id, str(x.seen)) for x in job.output().collect()) == [(1, "a", "1"), (1, "a", "2"), (2, "b", "1"), (2, "b", "None"), (70_000, "c", "1")]
+    job.settle(2)
+    assert job.settled() == 2 and [(r.lo, r.hi) for r in job.processed().collect()] == [(70_000, 70_000)]
+    job.run(rows((1, "late", 1), (3, "d", 1)), lambda d: d)
+    assert job.output().count() == 6 and job.settled() == 2
+    job.settle(1)
+    assert job.settled() == 2
+
+
+def test_long_intervals_are_cut_in_steps(spark):
+    iv = spark.createDataFrame([(5, 3 * (1 << 32) + 7)], "lo bigint, hi bigint")
+    assert merge_intervals(iv.where("lo < 0")).count() == 0
+    pieces = _pieces(iv)
+    assert pieces.count() == 3 * (1 << 16) + 1 and pieces.selectExpr("sum(hi - lo + 1)").first()[0] == 3 * (1 << 32) + 3
+
+
 def test_increments_survive_failures_and_late_rows(spark, tmp_path):
     job = IncrementalJob(spark, f"file://{tmp_path}/job")
     source = lambda *n: spark.createDataFrame([(x, f"v{x}") for x in n], "event_order bigint, v string")
@@ -152,6 +186,8 @@ def test_lookup_join_and_running_total(spark):
     table = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
     got = lookup_join(rows, table, "k", "n", hot_rows=10)
     assert got.count() == 840 and got.where("k = 'hot'").first().n == 500 and got.select("i").distinct().count() == 840
+    long = lookup_join(rows, table, "k", "n", hot_rows=30)  # the long key is hot too and goes as a digest
+    assert long.count() == 840 and long.where("length(k) = 5000").count() == 40 and long.columns == got.columns
     assert lookup_join(rows, table.limit(0), "k", "n").count() == 0
     nums = spark.createDataFrame([(i % 7, i, i + 1) for i in range(200)], "a int, b int, v bigint")
     got = {(r.a, r.b): r.before for r in running_total(nums, ["a", "b"], "v", "before").collect()}

@@ -60,6 +60,19 @@ def test_changes_take_one_shuffle_and_no_join(spark):
     assert p.count("Exchange") == 1 and "Join" not in p
 
 
+def test_existence_passes_the_barrier_in_the_plan(spark):
+    p = plan(feed.p2_found(spark, FOLDER))
+    assert p.split("\n\n")[0].count("Exchange") == 1 and "_written" in p and "_wall" in p and "Join" not in p
+
+
+def test_a_search_over_a_snapshot_shuffles_nothing_and_runs_no_python(spark):
+    from skein.queries.search import QUERIES
+
+    for name in ("snapshot_match", "snapshot_relevance"):
+        p = plan(QUERIES[name](spark, FOLDER))
+        assert "Exchange" not in p and "Python" not in p and "Arrow" not in p
+
+
 @pytest.mark.parametrize("name", ["source_resource", "category_id_or_slug", "official_tags_agg", "versioned_upsert", "tombstone", "source_versions"])
 def test_joins_are_equi_joins(spark, name):
     p = plan(index.QUERIES[name](spark, FOLDER))

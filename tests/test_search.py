@@ -1,9 +1,11 @@
 """Search over small fixtures."""
 
+import random
 from datetime import datetime, timezone
 
 import pytest
 
+from skein.operators.scoring import _density
 from skein.operators.search import search
 from skein.operators.tags import tag_index, tag_page
 from skein.operators.view import searchable
@@ -126,3 +128,23 @@ def test_postings_agree_with_the_scan(view, spark, tmp_path):
             assert {r.entity_id for r in matched_by_postings(view, p, groups, field).collect()} == want
     with pytest.raises(ValueError):
         candidates(p, [])
+
+
+def test_density_against_all_stretches(spark):
+    rng, groups, weights = random.Random(1), [["a", "x'"], ["b"], ["c", "a"]], {"tok_a": 0.5, "tok_b": 0.3, "tok_c": 0.2, "tok_d": 0.0}
+    rows = [[[rng.choice(["a", "b", "c", "x'", "d", "e"]) for _ in range(rng.randrange(8))] for _ in weights] for _ in range(120)]
+
+    def worth(parts):
+        told = [(w, [i for i, g in enumerate(groups) if t in g]) for tokens, w in zip(parts, weights.values()) for t in tokens]
+        holds = lambda a, z: {g for _, gs in told[a : z + 1] for g in gs} == {0, 1, 2}
+        total = 0.0
+        for a in range(len(told)):
+            for z in range(a, len(told)):
+                if holds(a, z) and (a == z or not holds(a + 1, z) and not holds(a, z - 1)):
+                    inside = [w for w, gs in told[a : z + 1] if gs]
+                    total += len(inside) / sum(1 / w for w in inside) / (1 + z - a + 1 - len(inside)) if min(inside) > 0 else 0.0
+        return total
+
+    df = spark.createDataFrame(rows, ", ".join(f"{c} array<string>" for c in weights))
+    got = [r.d for r in df.select(_density(groups, weights).alias("d")).collect()]
+    assert got == pytest.approx([worth(r) for r in rows]) and sum(1 for x in got if x) > 50
