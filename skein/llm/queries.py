@@ -214,6 +214,8 @@ SELECT entity_type, entity_id, term, n_holders, round(o, 6) AS log_odds, round(o
     "p6_frequencies": _POOLED
     + """size AS (SELECT count(*) AS n FROM listed), occ AS (SELECT term, count(*) AS n_occurrences FROM elements WHERE term <> '' GROUP BY term)
 SELECT term, n_holders AS n_records, n_occurrences, CASE WHEN n_holders * 5 >= n THEN 'common' WHEN n_holders <= 2 THEN 'rare' END AS mark FROM holders JOIN occ USING (term), size""",
+    # four bytes for a token: no document lies near the line, whatever the tokenizer
+    "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4 * 4096",
     # plain five-word runs that stood before, without changed words, sentences or lines: far from the line all agree
     "p9_found": r"""
 WITH u AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{Han}|(?:[^\P{L}\p{Han}]|\p{M})+') AS w FROM documents),
