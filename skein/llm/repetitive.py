@@ -109,7 +109,7 @@ def _measured(documents: DataFrame, id: str, text: str, sample: int) -> DataFram
     # of weighted lots the lowest are a sample in which a document's chance grows with its weight
     heavy = F.greatest(F.lit(1.0), F.least(F.lit(MOST_WEIGHT), F.length(F.col(text).cast("string")) / 1000))
     lot = -F.log((F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(1 << 53)) + 1) / F.lit(float(1 << 53))) / heavy
-    drawn = lot <= 1.5 * sample / max(n, 1)
+    drawn = lot <= 0.75 * sample / max(n, 1)  # weights are at least 1, and well above it on average
     held = F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit("held")), F.lit(3)) == 0
     rows = documents.select(F.col(id), F.col(text).cast("string").alias("_text"), held.alias("_held"), (F.when(drawn, lot) if n > sample else lot).alias("_lot"))
     schema = T.StructType([rows.schema[0], T.StructField("units", T.LongType()), *[T.StructField(f, T.DoubleType()) for f in FEATURES], rows.schema["_held"], rows.schema["_lot"], T.StructField("_examples", T.ArrayType(T.ArrayType(T.DoubleType())))])
@@ -142,11 +142,11 @@ class Repetitive:
     report: DataFrame
 
 
-def repetitive_documents(documents: DataFrame, id: str = "doc_id", text: str = "text", *, sample: int = 600, seed: int = 1) -> Repetitive:
+def repetitive_documents(documents: DataFrame, id: str = "doc_id", text: str = "text", *, sample: int = 400, seed: int = 1) -> Repetitive:
     """All documents with their features and ``repetitive``, the list that decides it, and its figures.
 
     Method: learned decision list. Labelled statistics come from texts with a known share of repeats, built from a bounded
-    sample (``sample`` documents by weighted hashes of their ids, so that long ones are among them; four texts each; a third
+    sample (about ``sample`` documents, and no more, by weighted hashes of their ids, so that long ones are among them; four texts each; a third
     of the documents is held out; each power of ten of lengths counts alike); sequential covering grows and prunes
     conjunctions of thresholds on the rest, of the kind that more repetition never speaks against; the list becomes one ordered CASE expression over
     the features, which are measured on every whole text. Documents are read once and not shuffled; of the sample
