@@ -8,6 +8,7 @@ from datetime import datetime
 
 from skein.plans.textquery import tokenize
 
+#: Kinds of entities, fields of clauses, operators of clauses.
 ENTITY_TYPES = ("resource", "post", "server", "video", "document", "user", "organization", "tag", "official_tag")
 SORTS = ("relevance", "latest", "popular")
 FIELDS = ("_all", "title", "tags", "keywords")

@@ -11,6 +11,7 @@ import regex
 
 _HAN = regex.compile(r"\p{Han}")
 _TOKEN = regex.compile(r"\p{Han}|[[\p{L}\p{Nd}]--\p{Han}][[\p{L}\p{Nd}\p{M}_.\-]--\p{Han}]*", regex.V1)
+#: Fixed value: what counts as a version in a query.
 _VERSION = re.compile(r"\b1\.\d+(?:\.\d+)?\b")
 
 #: Platforms and loaders whose mention raises records that name them.

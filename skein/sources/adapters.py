@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.search import by_category_or_slug
 
-#: The row shape of every adapter, in order.
+#: The row shape of every adapter, in order. The names of source columns below are fixed by the tables.
 ROW = ["entity_type", "entity_id", "title", "status", "visibility", "category_id", "author_id", "tags_json", "extra_tags_json", "keywords_json", "description",
        "view_count", "like_count", "download_count", "favorite_count", "created_at", "updated_at", "payload"]
 PERSON = ("id", "uid", "username", "slug", "avatar", "role")

@@ -108,6 +108,11 @@ def versions_of(keys: DataFrame, events: DataFrame) -> DataFrame:
     return keys.join(top, ["entity_type", "entity_id"], "left").withColumn("version", F.coalesce("version", F.lit(0)))
 
 
+def append_events(events: DataFrame, folder: str) -> None:
+    """Adds events to a feed of Parquet files, in bulk; readers of the folder see whole files only."""
+    events.write.mode("append").parquet(folder)
+
+
 def high_mark(events: DataFrame) -> int:
     """The highest order of a feed as read now, 0 if it is empty."""
     return events.agg(F.max("event_order")).first()[0] or 0

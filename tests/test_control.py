@@ -9,7 +9,9 @@ from skein.operators.metrics import job_summary
 from skein.plans.cache import AnswerCache, prewarm
 from skein.plans.request import QueryError
 from skein.plans.responses import document, failure, list_values
+from skein.plans.settings import Settings, from_environment
 from skein.sources.jobs import JobLog
+from skein.sources.outbox import append_events, high_mark
 
 
 def test_answers_live_and_end():
@@ -56,3 +58,18 @@ def test_newer_layout_is_not_opened(spark, tmp_path):
     c.log.append(0, {"layout": 99, "generations": []})
     with pytest.raises(LayoutError):
         c.generations()
+
+
+def test_settings_of_the_environment():
+    s = from_environment({"SKEIN_WORKER_BATCH_SIZE": "9999", "SKEIN_WORKER_MAX_ATTEMPTS": " 3 ", "SKEIN_CACHE_ENTRIES": "many", "SKEIN_WORKER_ENABLED": "Off", "SKEIN_CURSOR_SECRET": " s ", "SKEIN_SCORING_TITLE_WEIGHT": "0", "SKEIN_SCORING_TAGS_WEIGHT": "nan", "OTHER_WORKER_BATCH_SIZE": "1"})
+    assert (s.worker_batch_size, s.worker_max_attempts, s.cache_entries, s.worker_enabled, s.cursor_secret) == (500, 3, 2048, False, "s")
+    assert (s.config.scoring.title_weight, s.config.scoring.tags_weight, s.config.scoring.payload_weight) == (0.0, 5.0, 1.0)
+    assert from_environment({}) == Settings()
+
+
+def test_events_are_appended_in_bulk(spark, tmp_path):
+    rows = spark.range(3).selectExpr("CAST(id AS STRING) AS id", "id AS event_order")
+    append_events(rows, f"{tmp_path}/feed")
+    append_events(rows.selectExpr("concat('x', id) AS id", "event_order + 3 AS event_order"), f"{tmp_path}/feed")
+    feed = spark.read.parquet(f"{tmp_path}/feed")
+    assert feed.count() == 6 and high_mark(feed) == 5
