@@ -54,11 +54,12 @@ def mix_sources(
     from each source as it has up to an equal part, gives the posterior of each wanted source. Rates between 0 and the
     source's ``max_repeats`` (for soft members the posterior mean of it) are fitted by projected gradient on
         1/2 sum over sources (expected tokens - target_share * total)^2,
-    scaled by each source's size, where total is the size of all wanted sources. First the sources' own documents alone
-    (all documents of a source have the same gradient, so a source is one number): a source is ``short`` if its fitted rate
-    has run into the cap and the tokens expected at it still lie below the goal. Then the soft members join in; one
-    aggregation per iteration sends one number per source to the driver. ``repeats`` is the rate rounded up or down by a
-    hash of the id.
+    scaled by each source's size, where total is the size of all wanted sources. First the sources' own documents alone:
+    all documents of a source have the same gradient, so a source is one number, and no source moves another, so the first
+    step is the exact fit, goal / size up to the cap, and further ones would change nothing. A source is ``short`` if this
+    rate has run into the cap and the tokens at it lie below the goal, however little. Then the soft members join in, which
+    changes the rates but not ``short``, as that is about a source's own documents; one aggregation per iteration sends one
+    number per source to the driver. ``repeats`` is the rate rounded up or down by a hash of the id.
 
     report: source (as spelt in ``targets``), target_share, max_repeats, n_documents, size (tokens of its own documents),
     capacity = size * max_repeats, wanted = target_share * total, expected (with soft members), drawn (tokens of its own
@@ -91,11 +92,8 @@ def mix_sources(
     total = size.sum()
     goal = shares * total
 
-    own = caps.copy()  # rates of the sources' own documents
-    own[size > 0] = np.minimum(1.0, caps[size > 0])
-    for _ in range(iterations):
-        own = _step(own, size * own - goal, size, caps)
-    short = (own >= caps - 1e-9) & (size * own < goal - 1e-6 * max(total, 1))
+    own = _step(np.zeros(k), -goal, size, caps)  # rates of the sources' own documents
+    short = (own >= caps) & (size * own < goal)
 
     held = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("held")), F.lit(HELD_OUT)) == 0
     drawn = sized.where(F.col("class").isNotNull() & F.col("features").isNotNull()).select("class", "features", "times", held.alias("held")).limit(2 * sample).collect()

@@ -159,6 +159,18 @@ def test_short_sources_come_from_the_fitted_rates(spark, monkeypatch):
     assert short() == []
 
 
+def test_first_fit_is_one_exact_step(spark, monkeypatch):
+    docs = corpus(spark, {"wiki": 60, "guide": 5, None: 9})
+    targets = spark.createDataFrame([("wiki", 0.7, 2), ("guide", 0.3, 3), ("faq", 5e-7, 9)], "source string, target_share double, max_repeats int")
+    fits, step = [], mixing._step
+    monkeypatch.setattr(mixing, "_step", lambda *a: fits.append(step(*a)) or fits[-1])
+    report = mix_sources(docs, targets).report.collect()
+    assert len(fits) == 1  # what further steps would leave as it is, none is made for
+    assert {r.source: x for r, x in zip(sorted(report, key=lambda r: r.source), fits[0])} == {r.source: min(r.max_repeats, r.wanted / r.size if r.size else np.inf) for r in report}
+    total = sum(r.size for r in report)
+    assert {r.source for r in report if r.short} == {r.source for r in report if r.size * r.max_repeats < r.target_share * total} == {"guide", "faq"}
+
+
 def test_classifier_on_held_out_documents_of_a_rare_source(spark):
     mix = mix_sources(corpus(spark, {"wiki": 900, "chat-log": 60, None: 9}), spark.createDataFrame([("wiki", 0.5, 1), ("chat-log", 0.5, 2), ("faq", 0.0, 1)], "source string, target_share double, max_repeats int"), sample=180)
     told = {r.source: r for r in mix.accuracy.collect()}
